@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import pii
+from codequarry.llm import langid, pii, toxicity
 from codequarry.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op5_pii": op5_pii}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_pii": op5_pii, "op7_toxicity": op7_toxicity, "op9_language": op9_language}
 
 ORACLE: dict[str, str] = {}
