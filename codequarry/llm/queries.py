@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import langid, pii, toxicity
+from codequarry.llm import langid, packing, pii, toxicity
 from codequarry.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_pii": op5_pii, "op7_toxicity": op7_toxicity, "op9_language": op9_language}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_pii": op5_pii, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op10_packing": op10_packing}
 
 ORACLE: dict[str, str] = {}
