@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import langid, packing, pii, toxicity
+from codequarry.llm import chat, langid, packing, pii, toxicity
 from codequarry.llm.common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.windows(chat.with_special(spark, table(spark, sf_dir, "conversations"))))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -24,6 +28,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_pii": op5_pii, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op10_packing": op10_packing}
+QUERIES = {"op1_chat": op1_chat, "op5_pii": op5_pii, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op10_packing": op10_packing}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_chat": chat.ORACLE}
