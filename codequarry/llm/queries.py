@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import chat, langid, packing, pii, toxicity
+from codequarry.llm import chat, langid, packing, pii, spotsigs, toxicity
 from codequarry.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op5_pii": op5_pii, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op10_packing": op10_packing}
+QUERIES = {"op1_chat": op1_chat, "op5_pii": op5_pii, "op7_toxicity": op7_toxicity, "op8_spotsigs": op8_spotsigs, "op9_language": op9_language, "op10_packing": op10_packing}
 
-ORACLE: dict[str, str] = {"op1_chat": chat.ORACLE}
+ORACLE: dict[str, str] = {"op1_chat": chat.ORACLE, "op8_spotsigs": spotsigs.ORACLE}
