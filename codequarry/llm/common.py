@@ -129,6 +129,12 @@ def chained(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; quicker than np.unique, which hashes."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def doc_of(offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The row of each word."""
     return np.searchsorted(offsets, starts, "right") - 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import chat, langid, packing, pii, spotsigs, toxicity
+from codequarry.llm import chat, decontam, langid, packing, pii, spotsigs, toxicity
 from codequarry.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(chat.with_special(spark, table(spark, sf_dir, "conversations"))))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -32,6 +36,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op5_pii": op5_pii, "op7_toxicity": op7_toxicity, "op8_spotsigs": op8_spotsigs, "op9_language": op9_language, "op10_packing": op10_packing}
+QUERIES = {"op1_chat": op1_chat, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op7_toxicity": op7_toxicity, "op8_spotsigs": op8_spotsigs, "op9_language": op9_language, "op10_packing": op10_packing}
 
 ORACLE: dict[str, str] = {"op1_chat": chat.ORACLE, "op8_spotsigs": spotsigs.ORACLE}
