@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import chat, decontam, langid, packing, pii, spotsigs, toxicity
+from codequarry.llm import chat, decontam, jaccard, langid, packing, pii, spotsigs, toxicity
 from codequarry.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op7_toxicity": op7_toxicity, "op8_spotsigs": op8_spotsigs, "op9_language": op9_language, "op10_packing": op10_packing}
+QUERIES = {"op1_chat": op1_chat, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_toxicity": op7_toxicity, "op8_spotsigs": op8_spotsigs, "op9_language": op9_language, "op10_packing": op10_packing}
 
 ORACLE: dict[str, str] = {"op1_chat": chat.ORACLE, "op8_spotsigs": spotsigs.ORACLE}
