@@ -135,6 +135,12 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
+def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one behind the other."""
+    total = int(counts.sum())
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)
+
+
 def doc_of(offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The row of each word."""
     return np.searchsorted(offsets, starts, "right") - 1

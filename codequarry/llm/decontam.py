@@ -45,11 +45,6 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(common.chained(words, min(SHINGLE, max(len(words), 1))))
 
 
-def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    total = int(counts.sum())
-    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)
-
-
 @dataclass
 class Index:
     """Items and their postings by term (term_at to items and impacts), and by block (the best impact in the block)."""
@@ -133,7 +128,7 @@ def search(index: Index, words: np.ndarray, before: np.ndarray, threshold: float
     few = index.rare[p_term]
     r_cell, r_term = p_cell[few], p_term[few]
     n_post = index.block_at[r_term + 1] - index.block_at[r_term]
-    post = _expand(index.block_at[r_term], n_post)
+    post = common.expand(index.block_at[r_term], n_post)
     bound = np.bincount(np.repeat(r_cell, n_post) * n_blocks + index.blocks[post], index.block_best[post], minlength=n_cells * n_blocks).reshape(n_cells, n_blocks)
     joined = bound.copy()
     last = np.zeros(n_cells, bool)
@@ -146,11 +141,11 @@ def search(index: Index, words: np.ndarray, before: np.ndarray, threshold: float
     in_window = np.concatenate([hopeful, hopeful[~last[hopeful]] + 1])
     owner = np.concatenate([np.arange(len(hopeful)), np.flatnonzero(~last[hopeful])])
     lo, hi = np.searchsorted(p_cell, in_window), np.searchsorted(p_cell, in_window, "right")
-    rows = _expand(lo, hi - lo)
+    rows = common.expand(lo, hi - lo)
     unique = common.distinct(np.repeat(owner, hi - lo) * n_terms + p_term[rows])
     o, t = unique // n_terms, unique % n_terms
     n_post = index.term_at[t + 1] - index.term_at[t]
-    post = _expand(index.term_at[t], n_post)
+    post = common.expand(index.term_at[t], n_post)
     score = np.bincount(np.repeat(o, n_post) * n_items + index.items[post], index.impacts[post], minlength=len(hopeful) * n_items)
     for hit in np.flatnonzero(score >= threshold - 1e-9):
         at, item = hopeful[hit // n_items], int(hit % n_items)
