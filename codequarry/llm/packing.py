@@ -44,53 +44,86 @@ _OTHER = [b for b in range(256) if b not in _SELF]
 _BYTE_CHARS = {b: chr(b) for b in _SELF} | {b: chr(256 + n) for n, b in enumerate(_OTHER)}
 
 
+class Runs:
+    """Runs of ids, one behind the other, that are read by their numbers."""
+
+    def __init__(self):
+        self.flat, self.used, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def extend(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.used += len(ids)
+
+    def __getitem__(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs numbered at, and how many each has."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+
 class WordTokenizer:
     """Ids of whole texts, for a tokenizer that treats words between spaces and line ends alone and drops white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
+        """specials: whether the strings of special tokens in a text give their ids."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"}
+        self.tokenizer.encode_special_tokens = not specials
+        self.plain = Tokenizer.from_file(path)  # for words in their normal form already
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.marks = {"": 0} | {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.flat, self.used, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.cores: dict[str, int] = {}
+        self.words, self.plain_words = Runs(), Runs()
+
+    def plain_ids(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case Latin words, and their counts: each word's last id, and no other, is one that ends words."""
+        joined = [" ".join(["".join(map(_BYTE_CHARS.__getitem__, c.encode())) for c in cores[i : i + 2000]]) for i in range(0, len(cores), 2000)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
+        last = np.flatnonzero(self.ends[ids])
+        return ids, np.diff(last, prepend=-1)
 
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. A run of Latin letters, perhaps with a mark behind it, goes to the model without normalisation,
-        as its normal form is its lower case and the mark is a word of its own; all else takes the tokenizer's whole way."""
-        out: list[list[int]] = []
-        rest, cores, model = [], self.cores, self.tokenizer.model
-        for n, w in enumerate(words):
+    def learn(self, words: list[str]) -> None:
+        """A run of Latin letters, perhaps with a mark behind it, goes to the model without normalisation, as its normal form
+        is its lower case and the mark is a word of its own; all else takes the tokenizer's whole way."""
+        rest, plain, at, marks, fresh, cores = [], [], [], [], [], self.cores
+        for w in words:
             m = _PLAIN.fullmatch(w)
             if not m:
-                rest.append(n)
-                out.append([])
+                rest.append(w)
                 continue
-            core = m[1].lower()
-            ids = cores.get(core)
-            if ids is None:
-                ids = cores[core] = [t.id for t in model.tokenize("".join(map(_BYTE_CHARS.__getitem__, core.encode())))]
-            out.append(ids + [self.marks[m[2]]] if m[2] else ids)
-        for n, e in zip(rest, self.tokenizer.encode_batch_fast([words[n] for n in rest], add_special_tokens=False), strict=True):
-            out[n] = e.ids
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        ids = self.ids_of(words)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.used += total
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+            core, mark = m.groups()
+            core = core.lower()
+            k = cores.get(core)
+            if k is None:
+                k = cores[core] = len(cores)
+                fresh.append(core)
+            plain.append(w)
+            at.append(k)
+            marks.append(self.marks[mark])
+        if fresh:
+            self.plain_words.extend(*self.plain_ids(fresh))
+        self.known.update(zip(plain + rest, range(len(self.known), len(self.known) + len(words)), strict=True))
+        if plain:
+            ids, counts = self.plain_words[np.array(at)]
+            marks = np.array(marks, np.uint32)
+            ends = np.cumsum(counts)[marks > 0]
+            self.words.extend(np.insert(ids, ends, marks[marks > 0]), counts + (marks > 0))
+        if rest:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            self.words.extend(np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the ids before each text."""
@@ -100,16 +133,15 @@ class WordTokenizer:
             self.forget()
         if new := set(every).difference(self.known):
             self.learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
-        lengths = self.lengths[at]
+        ids, lengths = self.words[np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))]
         before = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.starts[at] - before[:-1], lengths) + np.arange(before[-1])]
         return ids, before[np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)]
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str, specials: bool = True) -> WordTokenizer:
+    """The worker's tokenizer, which keeps the words it knows from task to task."""
+    return WordTokenizer(path, specials)
 
 
 def class_of(n: int) -> int:
