@@ -164,40 +164,71 @@ def _share(wanted: np.ndarray, held: np.ndarray, n_words: int) -> float:
     return 0.0
 
 
+def _slices(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of all items, each of at most SLICE_CHARS of text and an item."""
+    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).withColumn("size", F.length("text"))
+    run_up = Window.orderBy("size", "item_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    sliced = sized.withColumn("slice", F.floor(F.sum("size").over(run_up) / SLICE_CHARS))
+    for row in sliced.select("slice").distinct().orderBy("slice").collect():
+        items = [(r["item_id"], r["text"]) for r in sliced.where(F.col("slice") == row["slice"]).orderBy("size", "item_id", "text").collect()]
+        if index := build(items):
+            yield index
+
+
+def _leaks(index: Index, batch: pa.RecordBatch, threshold: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(question share, answer share, score) of each verified (row, item)."""
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for first, _, data, offsets in common.text_steps(batch):
+        words, before = words_of(data, offsets)
+        for doc, item, score, question, answer in search(index, words, before, threshold):
+            if question >= QUESTION_SHARE and answer >= ANSWER_SHARE:
+                key = (first + doc, index.item_ids[item])
+                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (question, answer, score))
+    return best
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and test item that it holds; no row for clean documents.
 
     Null texts hold nothing, null or empty items are in no document, repeated documents have a row each, and repeated
     items are told once.
     """
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).withColumn("size", F.length("text"))
-    run_up = Window.orderBy("size", "item_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    sliced = sized.withColumn("slice", F.floor(F.sum("size").over(run_up) / SLICE_CHARS))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def find(index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                best = _leaks(shared.value, batch, threshold)
+                ids = batch.column("doc_id").to_pylist() if best else []
+                cols = {"doc_id": pa.array([ids[d] for d, _ in best], pa.int64()), "item_id": pa.array([i for _, i in best], pa.int64())}
+                for k, name in ((2, "score"), (0, "question_overlap"), (1, "answer_overlap")):
+                    cols[name] = pa.array([v[k] for v in best.values()], pa.float64())
+                yield pa.record_batch(cols)
+
+        return kept.mapInArrow(run, SCHEMA)
+
     out = None
-    for row in sliced.select("slice").distinct().orderBy("slice").collect():
-        items = [(r["item_id"], r["text"]) for r in sliced.where(F.col("slice") == row["slice"]).orderBy("size", "item_id", "text").collect()]
-        part = _find(docs, build(items), threshold)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else _find(docs.limit(0), None, threshold)
-
-
-def _find(docs: DataFrame, index: Index | None, threshold: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for first, _, data, offsets in common.text_steps(batch) if index else ():
-                words, before = words_of(data, offsets)
-                for doc, item, *found in search(index, words, before, threshold):
-                    if found[1] >= QUESTION_SHARE and found[2] >= ANSWER_SHARE:
-                        key = (first + doc, index.item_ids[item])
-                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (found[1], found[2], found[0]))
-            ids = batch.column("doc_id").to_pylist() if best else []
-            yield pa.record_batch({
-                "doc_id": pa.array([ids[d] for d, _ in best], pa.int64()), "item_id": pa.array([i for _, i in best], pa.int64()), "score": pa.array([v[2] for v in best.values()], pa.float64()),
-                "question_overlap": pa.array([v[0] for v in best.values()], pa.float64()), "answer_overlap": pa.array([v[1] for v in best.values()], pa.float64()),
-            })
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    for index in _slices(benchmark):
+        out = find(index) if out is None else out.unionByName(find(index))
+    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that hold no test item, with all their columns."""
+
+    def keep(docs: DataFrame, index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = np.ones(batch.num_rows, bool)
+                good[[d for d, _ in _leaks(shared.value, batch, threshold)]] = False
+                yield batch.filter(pa.array(good))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for index in _slices(benchmark):
+        docs = keep(docs, index)
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import chat, decontam, jaccard, langid, packing, pii, spotsigs, substrings, toxicity
+from codequarry.llm import chat, decontam, jaccard, langid, packing, pii, spotsigs, substrings, tokens, toxicity
 from codequarry.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(chat.with_special(spark, table(spark, sf_dir, "conversations"))))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op3_suffix_array": op3_suffix_array, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_toxicity": op7_toxicity, "op8_spotsigs": op8_spotsigs, "op9_language": op9_language, "op10_packing": op10_packing}
+QUERIES = {"op1_chat": op1_chat, "op2_token_counts": op2_token_counts, "op3_suffix_array": op3_suffix_array, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_toxicity": op7_toxicity, "op8_spotsigs": op8_spotsigs, "op9_language": op9_language, "op10_packing": op10_packing}
 
 ORACLE: dict[str, str] = {"op1_chat": chat.ORACLE, "op8_spotsigs": spotsigs.ORACLE}
