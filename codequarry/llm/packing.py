@@ -30,7 +30,7 @@ SLACK, SLACK_TOKENS = 0.02, 8
 #: Of each round's tasks, so many hand their incomplete sequences to one task of the next.
 FAN_IN = 32
 #: Distinct words that a worker remembers.
-WORDS_HELD = 600_000
+WORDS_HELD = 400_000
 TOKENIZER = "word_bpe_49k.json"
 
 _COLS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int"

@@ -30,7 +30,8 @@ _BREAK = r"[^\p{L}\p{N}]+"
 def signatures(text: Column) -> Column:
     """The sorted distinct signature hashes of a text, 8 hexadecimal digits each."""
     flat = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _BREAK, " "), F.lit(" "))
-    marked = F.regexp_replace(flat, f"(?: (?:{_ANCHORS}))+ ", " #")
+    # possessive: a long run of common words must not take a stack frame each
+    marked = F.regexp_replace(flat, f"(?: (?:{_ANCHORS})(?= ))++ ", " #")
     words = F.filter(F.split(marked, " "), lambda w: (w != "") & (w != "#"))
 
     def chain(ws: Column) -> Column:
@@ -56,7 +57,7 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, fp) with next_text and next_fp of the document with the next lower id, after the lowest the highest.
+    """docs (doc_id, text) with fp, and with next_text and next_fp of the document with the next lower id, after the lowest the highest.
 
     Ids are cut into buckets of equal width, each sorted alone; a bucket ends with a copy of the next bucket's first row.
     Documents that share an id are ordered by text; null ids come last.
@@ -64,21 +65,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     lo, hi = (lo or 0), (hi or 0)
     width = max(1.0, (float(hi) - float(lo) + 1) * BUCKET_ROWS / max(n, 1))
-    rows = docs.withColumn("rank_id", F.coalesce("doc_id", F.lit(lo))).withColumn("bucket", F.floor((F.col("rank_id").cast("double") - float(lo)) / width))
-    heads = rows.groupBy("bucket").agg(F.max("rank_id").alias("head"))
+    rank = F.coalesce("doc_id", F.lit(lo))
+    bucket = F.floor((rank.cast("double") - float(lo)) / width)
+    heads = docs.groupBy(bucket.alias("bucket")).agg(F.max(rank).alias("head"))
     above = Window.orderBy("bucket")
     ends = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select(F.col("head"), F.coalesce(F.lead("bucket").over(above), F.last("bucket").over(ends)).alias("into"))
-    first = rows.join(heads, rows["rank_id"] == heads["head"]).groupBy("into").agg(F.min(F.struct("text", "fp")).alias("row"))
-    ghosts = first.select(F.lit(None).cast("long").alias("doc_id"), "row.text", "row.fp", F.lit(0).cast("long").alias("rank_id"), F.col("into").alias("bucket"), F.lit(1).alias("ghost"))
+    first = docs.join(heads, rank == F.col("head")).groupBy("into").agg(F.min("text").alias("text"))
+    ghosts = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("into").alias("bucket"), F.lit(1).alias("ghost"))
+    rows = docs.select("doc_id", "text", bucket.alias("bucket"), F.lit(0).alias("ghost")).unionByName(ghosts)
     order = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
-    all_rows = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts)
-    return all_rows.select("doc_id", "text", "fp", "ghost", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp")).where("ghost = 0").drop("ghost")
+    told = rows.withColumn("fp", fingerprint(F.col("text"))).withColumn("next", F.lead(F.struct("text", "fp")).over(order))
+    return told.where("ghost = 0").select("doc_id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprint each document and its text whose second half is replaced by the next document's beginning."""
-    told = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", fingerprint(F.col("text")))
+    told = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))

@@ -20,17 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm import common
-from codequarry.llm.common import written
 from codequarry.llm.suffixes import common_prefixes, suffix_array
 
-LENGTH, ANCHOR = 50, 8
+#: ANCHOR is what anchors_of reads.
+LENGTH, ANCHOR = 50, 6
 #: Bytes of text a shard stands for (its strings have about three times as many), and that are cut into strings at once.
-SHARD_TEXT, STEP_TEXT = 4 << 20, 4 << 20
+SHARD_TEXT, STEP_TEXT = 4 << 20, 8 << 20
+#: Bytes of a longer text that are cut at once.
+PIECE = 4 << 20
 #: Documents with ids in one such range are blocked together for the last step.
 BLOCK_IDS = 256
 NO_ID = np.iinfo(np.int64).max
 #: Fields of a packed string.
-FIELDS = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("start", "<i8"), ("size", "<u2"), ("anchor", "<u2")])
+FIELDS = np.dtype([("doc", "<i8"), ("crc", "<u2"), ("start", "<u4"), ("size", "u1"), ("anchor", "u1")])
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -51,10 +53,9 @@ def _range_hash(sums: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarra
 
 def anchors_of(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """The place of each window's anchor, the first of equal ones; one value for each of the len(data) - length + 1 windows."""
-    x = data.astype(np.uint64)
-    x = x[:-1] | x[1:] << np.uint64(8)
-    x = x[:-2] | x[2:] << np.uint64(16)
-    x = x[:-4] | x[4:] << np.uint64(32)
+    one = data.astype(np.uint64)
+    two = one[:-1] | one[1:] << np.uint64(8)
+    x = two[:-4] | two[2:-2] << np.uint64(16) | two[4:] << np.uint64(32)
     key = common.mixed(x) & ~np.uint64((1 << 24) - 1) | np.arange(len(x), dtype=np.uint64)
     span, want = 1, length - ANCHOR + 1
     while 2 * span <= want:
@@ -83,19 +84,19 @@ def strings_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> t
 
 
 def _crcs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """crc32 of each text: what tells rows with one id and different texts apart."""
+    """16 bits of the crc32 of each text: what tells rows with one id and different texts apart."""
     held = memoryview(np.ascontiguousarray(data))
-    return np.array([zlib.crc32(held[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint32)
+    return np.array([zlib.crc32(held[a:b]) & 0xFFFF for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint16)
 
 
 def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(ids, crcs, places in their documents, bytes, offsets) of texts; a text over STEP_TEXT comes in pieces that share length - 1 bytes."""
+    """(ids, crcs, places in their documents, bytes, offsets) of texts; a text over PIECE comes in pieces that share length - 1 bytes."""
     ids = np.array([NO_ID if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64)
     for row, end, data, offsets in common.text_steps(batch):
         crcs = _crcs(data, offsets)
-        if end - row == 1 and len(data) > STEP_TEXT:
-            for a in range(0, len(data) - length + 1, STEP_TEXT):
-                part = data[a : a + STEP_TEXT + length - 1]
+        if end - row == 1 and len(data) > PIECE:
+            for a in range(0, len(data) - length + 1, PIECE):
+                part = data[a : a + PIECE + length - 1]
                 yield ids[row:end], crcs, np.array([a]), part, np.array([0, len(part)])
         else:
             yield ids[row:end], crcs, np.zeros(end - row, np.int64), data, offsets
@@ -105,49 +106,52 @@ def _cut(docs: DataFrame, shards: int, length: int) -> DataFrame:
     """(shard, packed): the strings of each step, by shard; of equal ones in a step, all their documents but one string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdCompressor(level=1)
+        coder, held, size = zstandard.ZstdCompressor(level=3), [], 0
         for batch in batches:
-            held: list[tuple] = []
-            size = 0
             for piece in _pieces(batch, length):
-                held.append(piece)
+                held.append(_told(*piece, shards, length))
                 size += len(piece[3])
                 if size >= STEP_TEXT:
-                    yield _packed(held, shards, length, coder)
+                    yield from _packed(held, coder)
                     held, size = [], 0
-            if held:
-                yield _packed(held, shards, length, coder)
+        yield from _packed(held, coder)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard int, packed binary")
 
 
-def _packed(held: list[tuple], shards: int, length: int, coder: zstandard.ZstdCompressor) -> pa.RecordBatch:
-    data = np.concatenate([h[3] for h in held])
-    base = np.cumsum([0, *(len(h[3]) for h in held)])
-    offsets = np.concatenate([*(h[4][:-1] + b for h, b in zip(held, base[:-1], strict=True)), base[-1:]])
-    ids, crcs, place = (np.concatenate([h[n] for h in held]) for n in range(3))
+def _told(ids: np.ndarray, crcs: np.ndarray, place: np.ndarray, data: np.ndarray, offsets: np.ndarray, shards: int, length: int) -> tuple[np.ndarray, ...]:
+    """The bytes, fields, shards, hashes and starts of a piece's strings."""
     text, start, end, anchor = strings_of(data, offsets, length)
+    rows = np.zeros(len(text), FIELDS)
     if not len(text):
-        return pa.record_batch({"shard": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
+        return data, rows, text, np.zeros(0, np.uint64), start
     sums = _sums(data)
-    shard = (_range_hash(sums, anchor, anchor + ANCHOR) % np.uint64(shards)).astype(np.int64)
-    told = _range_hash(sums, start, end)
+    rows["doc"], rows["crc"], rows["start"], rows["size"], rows["anchor"] = ids[text], crcs[text], place[text] + start - offsets[text], end - start, anchor - start
+    return data, rows, (_range_hash(sums, anchor, anchor + ANCHOR) % np.uint64(shards)).astype(np.int32), _range_hash(sums, start, end), start
+
+
+def _planes(rows: np.ndarray) -> bytes:
+    """The fields' bytes, all first ones before all second ones: high bytes are alike, so they compress away."""
+    return b"".join(np.ascontiguousarray(rows[f]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for f in FIELDS.names)
+
+
+def _packed(held: list[tuple[np.ndarray, ...]], coder: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+    base = np.cumsum([0, *(len(h[0]) for h in held)])
+    if not sum(len(h[1]) for h in held):
+        return
+    data, rows, shard, told = (np.concatenate([h[k] for h in held]) for k in range(4))
+    start = np.concatenate([h[4] + b for h, b in zip(held, base[:-1], strict=True)])
     order = np.lexsort((told, shard))
-    rows = np.zeros(len(order), FIELDS)
-    text, start, end, anchor, told, shard = (x[order] for x in (text, start, end, anchor, told, shard))
-    rows["crc"] = crcs[text]
-    rows["doc"], rows["start"], rows["size"], rows["anchor"] = ids[text], place[text] + start - offsets[text], end - start, anchor - start
-    fresh = np.concatenate([[True], told[1:] != told[:-1]])
+    rows, shard, told, start = rows[order], shard[order], told[order], start[order]
+    size = rows["size"].astype(np.int64)
+    fresh = np.concatenate([[True], (told[1:] != told[:-1]) | (shard[1:] != shard[:-1])])
     rows["size"][~fresh] = 0  # the string is the one before
     cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-    out, names = [], []
+    out = []
     for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
         k = a + np.flatnonzero(fresh[a:b])
-        body = data[common.expand(start[k], end[k] - start[k])]
-        fields = b"".join(np.ascontiguousarray(rows[f][a:b]).tobytes() for f in FIELDS.names)
-        out.append(coder.compress(np.int64(b - a).tobytes() + fields + body.tobytes()))
-        names.append(shard[a])
-    return pa.record_batch({"shard": pa.array(names, pa.int32()), "packed": pa.array(out, pa.binary())})
+        out.append(coder.compress(np.int64(b - a).tobytes() + _planes(rows[a:b]) + data[common.expand(start[k], size[k])].tobytes()))
+    yield pa.record_batch({"shard": pa.array(shard[cuts], pa.int32()), "packed": pa.array(out, pa.binary())})
 
 
 def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,8 +162,9 @@ def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         n = int(np.frombuffer(raw, np.int64, 1)[0])
         rows, at = np.zeros(n, FIELDS), 8
         for f in FIELDS.names:
-            rows[f] = np.frombuffer(raw, FIELDS[f], n, at)
-            at += n * FIELDS[f].itemsize
+            width = FIELDS[f].itemsize
+            rows[f] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(FIELDS[f]).reshape(-1)
+            at += n * width
         fields.append(rows)
         bodies.append(np.frombuffer(raw, np.uint8, offset=at))
     rows = np.concatenate(fields)
@@ -230,21 +235,21 @@ def _shared(rows: np.ndarray, string: np.ndarray, data: np.ndarray, offsets: np.
     new = np.concatenate([[True], (np.diff(gone) > 1) | (r[gone[1:]] != r[gone[:-1]])])
     a, b = gone[new], gone[np.append(np.flatnonzero(new)[1:], len(gone)) - 1]
     within = np.arange(len(flat)) - np.repeat(np.cumsum(windows[p]) - windows[p], windows[p])
-    base = rows["start"][rec][r[a]]
+    base = rows["start"][rec][r[a]].astype(np.int64)
     return rec[r[a]], np.stack([base + within[a], base + within[b] + length], 1)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, crc, start, end): byte ranges that repeat in a document with a smaller id; ranges of a document may overlap."""
+    """(doc_id, crc, start, size): byte ranges that repeat in a document with a smaller id; ranges of a document may overlap."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_TEXT))
 
     def run(table: pa.Table) -> pa.Table:
         rows, string, data, offsets = _unpacked(table.column("packed").to_pylist())
         rec, spans = _shared(rows, string, data, offsets, length)
-        return pa.table({"doc_id": pa.array(rows["doc"][rec]), "crc": pa.array(rows["crc"][rec].astype(np.int64)), "start": pa.array(spans[:, 0]), "end": pa.array(spans[:, 1])})
+        return pa.table({"doc_id": pa.array(rows["doc"][rec]), "crc": pa.array(rows["crc"][rec].astype(np.int16)), "start": pa.array(spans[:, 0]), "size": pa.array((spans[:, 1] - spans[:, 0]).astype(np.int16))})
 
-    return _cut(docs, shards, length).groupBy("shard").applyInArrow(run, "doc_id bigint, crc bigint, start bigint, end bigint")
+    return _cut(docs, shards, length).groupBy("shard").applyInArrow(run, "doc_id bigint, crc smallint, start bigint, size smallint")
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -273,12 +278,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null text is empty. Rows that share an id don't count as smaller than each other; a null id is larger than all.
     """
-    spans = written(repeated(docs, length), "spans").withColumn("block", F.floor(F.col("doc_id") / BLOCK_IDS))
+    spans = repeated(docs, length).withColumn("block", F.floor(F.col("doc_id") / BLOCK_IDS))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         doc = right.column("doc_id").to_numpy()
         order = np.argsort(doc, kind="stable")
-        doc, crc, start, end = doc[order], *(right.column(c).to_numpy()[order] for c in ("crc", "start", "end"))
+        doc, crc, start, size = doc[order], *(right.column(c).to_numpy()[order] for c in ("crc", "start", "size"))
+        end = start + size
         decoder, out = zstandard.ZstdDecompressor(), []
         for packed in left.column("packed").to_pylist():
             raw = decoder.decompress(packed)
@@ -288,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for d, size in zip(ids.tolist(), sizes.tolist(), strict=True):
                 lo, hi = np.searchsorted(doc, d), np.searchsorted(doc, d, "right")
                 text = raw[at : at + size]
-                own = crc[lo:hi] == zlib.crc32(text) if hi > lo else slice(0)
+                own = crc[lo:hi].astype(np.uint16) == zlib.crc32(text) & 0xFFFF if hi > lo else slice(0)
                 out.append((None if d == NO_ID else d, size, *_kept(text, start[lo:hi][own], end[lo:hi][own])))
                 at += size
         cols = list(zip(*out, strict=True)) if out else [()] * 5

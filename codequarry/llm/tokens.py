@@ -34,9 +34,8 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str | None = None) -> Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(vocabulary, False)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i in range(0, len(texts), 256):
-                ids, before = coder(texts[i : i + 256])
+            for i in range(0, batch.num_rows, 256):
+                ids, before = coder([t or "" for t in batch.column("text").slice(i, 256).to_pylist()])
                 data, at = ids.astype("<u2").tobytes(), (2 * before).tolist()
                 yield pa.record_batch({"ids": pa.array([data[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
