@@ -28,8 +28,8 @@ LENGTH, ANCHOR = 50, 6
 SHARD_TEXT, STEP_TEXT = 4 << 20, 8 << 20
 #: Bytes of a longer text that are cut at once.
 PIECE = 4 << 20
-#: Documents with ids in one such range are blocked together for the last step.
-BLOCK_IDS = 256
+#: Documents whose ids agree but for so many low bits are blocked together for the last step.
+BLOCK_BITS = 8
 NO_ID = np.iinfo(np.int64).max
 #: Fields of a packed string.
 FIELDS = np.dtype([("doc", "<i8"), ("crc", "<u2"), ("start", "<u4"), ("size", "u1"), ("anchor", "u1")])
@@ -260,7 +260,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = np.array([NO_ID if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64)
             for row, end, data, offsets in common.text_steps(batch):
-                block = ids[row:end] // BLOCK_IDS
+                block = ids[row:end] >> BLOCK_BITS
                 names, out = [], []
                 for b in np.unique(block):
                     k = np.flatnonzero(block == b)
@@ -278,7 +278,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null text is empty. Rows that share an id don't count as smaller than each other; a null id is larger than all.
     """
-    spans = repeated(docs, length).withColumn("block", F.floor(F.col("doc_id") / BLOCK_IDS))
+    spans = repeated(docs, length).withColumn("block", F.shiftright("doc_id", BLOCK_BITS))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         doc = right.column("doc_id").to_numpy()

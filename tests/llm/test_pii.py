@@ -1,0 +1,89 @@
+import hashlib
+import random
+import re
+
+from codequarry.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits: str) -> bool:
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def holds(kind: str, value: str) -> bool:
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def plain(text: str | None) -> tuple:
+    spans = [(m.start(), k, kind, m.end()) for k, kind in enumerate(pii.BASE_KINDS) for m in re.finditer(PATTERNS[kind], text or "") if holds(kind, m.group())]
+    told = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans))
+    return *(sum(s[2] == kind for s in spans) for kind in pii.BASE_KINDS), hashlib.sha256(told.encode()).hexdigest()
+
+
+def run(spark, texts: list, schema: str = "doc_id long, text string"):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return {r["doc_id"]: r for r in pii.digest(pii.find_pii(spark.createDataFrame(rows, schema))).collect()}
+
+
+def check(spark, texts: list) -> None:
+    found = run(spark, texts)
+    assert len(found) == len(texts)
+    for i, t in enumerate(texts):
+        r = found[i]
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) == plain(t), t
+
+
+def test_chosen_texts(spark):
+    check(spark, [
+        None, "", "write to a.b+c@mail.example.co.uk!", "a@b.c@d.e.f", "a@b", "@b.c", "x@y.zz..", "user@-a.-b", "1.2.3.4", "1.2.3.4.5.6.7.8", "999.1.1.1", "0001.2.3.255", "256.1.1.1 10.0.0.1",
+        "4111 1111 1111 1111", "4111-1111-1111-1111 4111111111111112", "4111  1111", "call +49 (30) 123-4567.", "+1", "+12", "+1 2 +33 1 23 45 67 89", "+1.2.3.4.5.6.7.8.9", "é漢😀 a@b.cd 😀1.2.3.4",
+        "1" * 5000, "1 " * 3000, "a" * 20000 + "@", "+1" * 2000, "%" * 9000 + "@x.y", "1." * 4000, "a@" * 3000, "9" * 400 + ".1.1.1", "+" + "1-" * 3000, "a@b.c\na@b.c\r\n1.1.1.1 +123456789",
+    ])
+
+
+def test_random_texts(spark):
+    rng = random.Random(3)
+    bits = ["@", ".", "-", "+", " ", "(", ")", "1", "23", "4111111111111111", "a", "bc", "%", "_", "é", "\n", "127.0.0.1", "x@y.zz", "+49 30 1234567", "😀"]
+    check(spark, ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(1500)])
+
+
+def test_whole_table(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    found = {r["doc_id"]: r for r in pii.digest(pii.find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))).collect()}
+    for d, t in rows:
+        assert tuple(found[d][c] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256")) == plain(t)
+
+
+def test_added_kinds_need_checksum_and_score(spark):
+    found = run(spark, ["my iban is DE89 3704 0044 0532 0130 00 ok", "DE89370400440532013001", "social security 123-45-6789", "lot 123-45-6789"])
+    assert "iban:" in found[0]["spans"] and "iban:" not in found[1]["spans"]
+    assert "ssn:" in found[2]["spans"] and "ssn:" not in found[3]["spans"]
+
+
+def test_context_raises_the_score(spark):
+    rows = [(1, "call me: +49 30 1234567"), (2, "the code +49 30 1234567")]
+    a, b = (r["pii"][0]["score"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect())
+    assert a > b
+
+
+def test_redaction(spark):
+    rows = [(1, "mail a@b.cd now", "x"), (2, None, "y"), (3, "", "z"), (4, "😀 host 10.0.0.1, and +49 30 1234567", "w"), (4, "clean", "w")]
+    out = pii.redact_pii(spark.createDataFrame(rows, "doc_id long, text string, kind string"))
+    assert out.columns == ["doc_id", "text", "kind"]
+    told = sorted((r["doc_id"], r["text"] or "", r["kind"]) for r in out.collect())
+    assert told == [(1, "mail [EMAIL] now", "x"), (2, "", "y"), (3, "", "z"), (4, "clean", "w"), (4, "😀 host [IP], and [PHONE]", "w")]
+
+
+def test_empty_table(spark):
+    assert run(spark, []) == {}
