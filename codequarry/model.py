@@ -18,7 +18,7 @@ SELECT p_partkey AS file_id,
   || CASE WHEN p_partkey % 11 = 0 THEN '.test' WHEN p_partkey % 13 = 0 THEN 'Test' ELSE '' END
   || CASE p_size % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.js' WHEN 3 THEN '.java' WHEN 4 THEN '.c' ELSE '.cpp' END AS path,
   CASE p_size % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'javascript' WHEN 3 THEN 'java' WHEN 4 THEN 'c' ELSE 'cpp' END AS lang,
-  md5(p_name) AS hash, CAST(p_retailprice AS BIGINT) * 100 AS mtime, CAST(p_size AS BIGINT) * 100 AS size
+  md5(p_name) AS hash, CAST(floor(p_retailprice) AS BIGINT) * 100 AS mtime, CAST(p_size AS BIGINT) * 100 AS size
 FROM {part}""",
     "symbols": """
 SELECT o_orderkey AS symbol_id, pk AS file_id,
