@@ -152,3 +152,50 @@ def html_text(html: Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         s = F.replace(s, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def compact_number(n: Column) -> Column:
+    """A number in thousands or millions with one decimal, as people write it."""
+    told = F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 1000, F.format_string("%.1fk", n / 1000))
+    return told.otherwise(n.cast("bigint").cast("string"))
+
+
+def redact_url(text: Column) -> Column:
+    """URLs without the names and passwords before their host."""
+    return F.regexp_replace(text, r"(?i)\b([a-z][a-z0-9+.-]*://)[^/\s@]+@", "$1")
+
+
+#: Patterns of secrets, of our own choice: keys by their beginnings, and values behind telling names.
+SECRETS = (r"\b(?:sk|pk|ghp|gho|xox[bap])[-_][A-Za-z0-9_-]{16,}", r"\bAKIA[0-9A-Z]{16}\b", r"(?i)\b(?:api[_-]?key|secret|password|token)\b\s*[:=]\s*['\"]?[^\s'\"]{6,}")
+
+
+def redact_secrets(text: Column) -> Column:
+    """(text, count): secrets replaced, and how many there were."""
+    pattern = "|".join(f"(?:{p})" for p in SECRETS)
+    return F.struct(F.regexp_replace(text, pattern, "[redacted]").alias("text"), F.regexp_count(text, F.lit(pattern)).alias("count"))
+
+
+def failure_print(output: Column, lines: int = 15) -> Column:
+    """The last lines of an output that aren't blank, without digits: equal failures have equal ones."""
+    kept = F.filter(F.split(output, "\n"), lambda x: F.trim(x) != "")
+    last = F.slice(kept, F.greatest(F.size(kept) - lines + 1, F.lit(1)), lines)
+    return F.regexp_replace(F.array_join(last, "\n"), "[0-9]", "")
+
+
+def working_dir(command: Column) -> Column:
+    """The folder that a command changes to first; null for others."""
+    return F.nullif(F.regexp_extract(command, r"""^\s*cd\s+["']?([^"'&;|]+?)["']?\s*(?:&&|;)""", 1), F.lit(""))
+
+
+def in_development(commit: Column) -> Column:
+    """The fixed split of questions by their commit: three tenths are for development."""
+    return F.conv(F.substring(commit, 1, 8), 16, 10).cast("long") % 10 < 3
+
+
+def changed_span(before: Column, after: Column) -> Column:
+    """(start, end_before, end_after): what is left of two lines without their common beginning and end."""
+    n = F.least(F.length(before), F.length(after))
+    upto = F.sequence(F.lit(1), n)
+    head = F.when(n > 0, F.coalesce(F.array_max(F.filter(upto, lambda k: F.substring(before, F.lit(1), k) == F.substring(after, F.lit(1), k))), F.lit(0))).otherwise(0)
+    tail = F.when(n - head > 0, F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), n - head), lambda k: F.right(before, k) == F.right(after, k))), F.lit(0))).otherwise(0)
+    return F.struct(head.alias("start"), (F.length(before) - tail).alias("end_before"), (F.length(after) - tail).alias("end_after"))

@@ -88,3 +88,59 @@ def find(symbols: DataFrame, files: DataFrame, query: str, limit: int) -> DataFr
     all_ = lookups.with_files(symbols, files)
     rank = F.when(F.lower("name") == query.lower(), 0).when(F.lower("path").contains(query.lower()), 1).when(F.lower("name").startswith(query.lower()), 2)
     return all_.withColumn("tier", rank).where("tier is not null").orderBy("tier", "path", "start_line", "symbol_id").limit(limit).select("tier", "symbol_id", "name", "path")
+
+
+def neighborhood(centers: DataFrame, symbols: DataFrame, refs: DataFrame, calls: DataFrame, pairs: DataFrame, most: int = 20, most_defs: int = 2, most_files: int = 5) -> DataFrame:
+    """(symbol_id, kind, target): around each center its file, its callers, what it calls and the files that change with its own.
+
+    Callers and callees are the first `most` by id, names with more than most_defs definitions call nothing; of the files that
+    change together, the most_files with the highest counts.
+    """
+    own = centers.select("symbol_id").join(symbols.select("symbol_id", "file_id"), "symbol_id")
+    by = Window.partitionBy("symbol_id")
+    callers = own.select("symbol_id").join(calls.select("symbol_id", F.col("caller_id").alias("target")), "symbol_id").distinct()
+    rare = lookups.definitions(symbols).where(F.col("defs") <= most_defs).select("name")
+    used = refs.select(F.col("enclosing_symbol_id").alias("symbol_id"), "name").distinct().join(rare, "name")
+    callees = own.select("symbol_id").join(used, "symbol_id").join(symbols.select("name", F.col("symbol_id").alias("target")), "name").where("target <> symbol_id").select("symbol_id", "target").distinct()
+    first = lambda df: df.withColumn("r", F.row_number().over(by.orderBy("target"))).where(F.col("r") <= most).drop("r")
+    near = own.join(lookups.cochanged(pairs), F.col("file_id") == F.col("file_a")).withColumn("r", F.row_number().over(by.orderBy(F.desc("cnt"), "file_b"))).where(F.col("r") <= most_files)
+    out = own.select("symbol_id", F.lit("defines").alias("kind"), F.col("file_id").alias("target"))
+    for kind, df in (("caller", first(callers)), ("callee", first(callees)), ("cochange", near.select("symbol_id", F.col("file_b").alias("target")))):
+        out = out.unionByName(df.select("symbol_id", F.lit(kind).alias("kind"), "target"))
+    return out
+
+
+def once(edges: DataFrame) -> DataFrame:
+    """(src, dst, kind, depth): edges once each with their least depth, without loops."""
+    return edges.where("src <> dst").groupBy("src", "dst", "kind").agg(F.min("depth").alias("depth"))
+
+
+def node_keys(nodes: DataFrame) -> DataFrame:
+    """Nodes (node_id, kind, path, label) with keys that don't depend on ids; equal ones are numbered in the order of ids."""
+    no = F.row_number().over(Window.partitionBy("kind", "path", "label").orderBy("node_id")) - 1
+    return nodes.select("node_id", F.concat("kind", F.lit(":"), "path", F.lit(":"), "label", F.lit("#"), no.cast("string")).alias("key"))
+
+
+def footprint(events: DataFrame) -> DataFrame:
+    """(session, file_id, mark): edited before read before searched, whichever a session did most of consequence to a file."""
+    rank = F.when(F.col("op") == "edit", 0).when(F.col("op") == "read", 1).when(F.col("op") == "search", 2)
+    best = events.where(rank.isNotNull()).groupBy("session", "file_id").agg(F.min(rank).alias("r"))
+    return best.select("session", "file_id", F.element_at(F.array(F.lit("edited"), F.lit("read"), F.lit("searched")), F.col("r") + 1).alias("mark"))
+
+
+def related_tests(changed: DataFrame, files: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(file_id, test_id): tests that refer to a changed file or change with it; a changed test is its own."""
+    tests = files.where(paths.is_test_path(F.col("path"))).select(F.col("file_id").alias("test_id"))
+    own = changed.select("file_id")
+    referring = edges.select(F.col("dst").alias("file_id"), F.col("src").alias("test_id"))
+    together = lookups.cochanged(pairs).select(F.col("file_a").alias("file_id"), F.col("file_b").alias("test_id"))
+    met = own.join(referring.unionByName(together), "file_id").unionByName(own.select("file_id", F.col("file_id").alias("test_id")))
+    return met.join(tests, "test_id", "left_semi").select("file_id", "test_id").distinct()
+
+
+def linked_notes(notes: DataFrame, symbols: DataFrame, most: int = 8, most_defs: int = 3) -> DataFrame:
+    """(note_id, name): names of notes' words that 1 to most_defs symbols have, the first `most` in the order of the alphabet."""
+    rare = lookups.definitions(symbols).where(F.col("defs") <= most_defs).select("name")
+    words = notes.select("note_id", F.explode(F.array_distinct(text.identifiers(F.col("text")))).alias("name"))
+    met = words.join(rare, "name")
+    return met.withColumn("r", F.row_number().over(Window.partitionBy("note_id").orderBy("name"))).where(F.col("r") <= most).select("note_id", "name")
