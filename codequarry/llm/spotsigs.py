@@ -23,6 +23,8 @@ ANCHORS = (
 ).split()
 #: Documents in one bucket of the ordering, about.
 BUCKET_ROWS = 4096
+#: Buckets whose first ids may be broadcast; those of more are joined by a shuffle.
+BROADCAST_BUCKETS = 100_000
 _ANCHORS = "|".join(sorted(set(ANCHORS)))
 _BREAK = r"[^\p{L}\p{N}]+"
 
@@ -71,9 +73,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     above = Window.orderBy("bucket")
     ends = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select(F.col("head"), F.coalesce(F.lead("bucket").over(above), F.last("bucket").over(ends)).alias("into"))
+    heads = F.broadcast(heads) if n <= BROADCAST_BUCKETS * BUCKET_ROWS else heads
     first = docs.join(heads, rank == F.col("head")).groupBy("into").agg(F.min("text").alias("text"))
     ghosts = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("into").alias("bucket"), F.lit(1).alias("ghost"))
-    rows = docs.select("doc_id", "text", bucket.alias("bucket"), F.lit(0).alias("ghost")).unionByName(ghosts)
+    rows = docs.select("doc_id", "text", bucket.alias("bucket"), F.lit(0).alias("ghost")).unionByName(ghosts).repartition("bucket")
     order = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
     told = rows.withColumn("fp", fingerprint(F.col("text"))).withColumn("next", F.lead(F.struct("text", "fp")).over(order))
     return told.where("ghost = 0").select("doc_id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
