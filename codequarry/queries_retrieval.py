@@ -25,7 +25,7 @@ def _(m: Model):
     return _seeds(m).withColumn("score", F.round("score", 6))
 
 
-@query("r7_expanded", inner(SEEDS, """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, symbol_id) AS r FROM seeds) JOIN (SELECT symbol_id, file_id AS own FROM symbols) USING (symbol_id) WHERE r <= 8),
+@query("r7_expanded", inner(SEEDS, """, best AS (SELECT * FROM (SELECT query_id, symbol_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, symbol_id) AS r FROM seeds) JOIN (SELECT symbol_id, file_id AS own FROM symbols) USING (symbol_id) WHERE r <= 8),
 callees AS (SELECT DISTINCT enclosing_symbol_id AS symbol_id, name FROM refs), defs AS (SELECT name, count(*) AS n FROM symbols GROUP BY name HAVING count(*) <= 5)
 SELECT query_id, s.symbol_id, round(sum(0.5 * score * CASE WHEN own = s.file_id THEN 1.5 ELSE 1.0 END / n), 6) AS score FROM best JOIN callees c ON c.symbol_id = best.symbol_id JOIN defs USING (name) JOIN symbols s USING (name) GROUP BY ALL""", "symbols", "files", "refs").replace(") , best", "), best"))
 def _(m: Model):
