@@ -10,12 +10,13 @@ START = dt.datetime(2026, 1, 1)
 def stream(spark, tmp_path, batches, schema, transform, mode="append"):
     """Rows that a stream of files, one a batch, gives."""
     source = tmp_path / "in"
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else state with time limits keeps a bounded run going
     for no, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{source}/{no}")
     frame = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(source))
     name = f"out_{abs(hash(str(tmp_path)))}"
     query = transform(frame).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    assert query.awaitTermination(120)
     return [tuple(r) for r in spark.sql(f"SELECT * FROM {name}").collect()]
 
 
