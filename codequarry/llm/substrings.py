@@ -25,7 +25,9 @@ from codequarry.llm.suffixes import common_prefixes, suffix_array
 #: ANCHOR is what anchors_of reads.
 LENGTH, ANCHOR = 50, 6
 #: Bytes of text a shard stands for (its strings have about three times as many), and that are cut into strings at once.
-SHARD_TEXT, STEP_TEXT = 4 << 20, 8 << 20
+SHARD_TEXT, STEP_TEXT = 3 << 20, 4 << 20
+#: Bytes of strings hashed at once in a shard.
+HASHED = 1 << 19
 #: Bytes of a longer text that are cut at once.
 PIECE = 4 << 20
 #: Documents whose ids agree but for so many low bits are blocked together for the last step.
@@ -172,26 +174,40 @@ def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return rows, np.cumsum(fresh) - 1, np.concatenate(bodies), np.concatenate([[0], np.cumsum(rows["size"][fresh].astype(np.int64))])
 
 
+def _string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, anchor: np.ndarray, side: int) -> tuple[np.ndarray, ...]:
+    """Hashes of whole strings, and of their anchors with `side` bytes before and behind them, or fewer; by blocks of strings."""
+    out = np.zeros((3, len(start)), np.uint64)
+    block = start // HASHED
+    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(start) else np.zeros(0, np.int64)
+    for i, j in zip(cuts, np.append(cuts[1:], len(start)), strict=True):
+        base = start[i]
+        sums = _sums(data[base : end[j - 1]])
+        s, e, a = start[i:j] - base, end[i:j] - base, anchor[i:j] - base
+        out[0, i:j] = _range_hash(sums, s, e)
+        out[1, i:j] = _range_hash(sums, np.maximum(a - side, s), a + ANCHOR)
+        out[2, i:j] = _range_hash(sums, a, np.minimum(a + ANCHOR + side, e))
+    return tuple(out)
+
+
 def _shared(rows: np.ndarray, string: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(record, start, end) of the ranges of windows that a smaller document has too, from all records of a shard."""
-    sums = _sums(data)
     start, end = offsets[:-1], offsets[1:]
     anchor = start + rows["anchor"][rows["size"] > 0]
+    # a window holds half of what surrounds the anchor in it, on one side at least: only classes that share a side go on
+    side = (length - ANCHOR) // 2 - (length - ANCHOR) % 2
+    told, left, right = _string_hashes(data, start, end, anchor, side)
     # equal strings are one class
-    told = _range_hash(sums, start, end)
     _, lead, cls = np.unique(told, return_index=True, return_inverse=True)
     doc_class = cls[string]
     low = np.full(len(lead), NO_ID)
     np.minimum.at(low, doc_class, rows["doc"])
     high = np.full(len(lead), np.iinfo(np.int64).min)
     np.maximum.at(high, doc_class, rows["doc"])
-    # a window holds half of what surrounds the anchor in it, on one side at least: only classes that share a side go on
-    side = (length - ANCHOR) // 2 - (length - ANCHOR) % 2
-    a, s, e = anchor[lead], start[lead], end[lead]
+    s, e = start[lead], end[lead]
     live = np.zeros(len(lead), bool)
-    for lo, hi, ok in ((a - side, a + ANCHOR, a - s >= side), (a, a + ANCHOR + side, e - a >= ANCHOR + side)):
+    for half, ok in ((left[lead], anchor[lead] - s >= side), (right[lead], e - anchor[lead] >= ANCHOR + side)):
         k = np.flatnonzero(ok)
-        _, at = np.unique(_range_hash(sums, lo[k], hi[k]), return_inverse=True)
+        _, at = np.unique(half[k], return_inverse=True)
         if len(k):
             first, last = np.full(at.max() + 1, NO_ID), np.full(at.max() + 1, np.iinfo(np.int64).min)
             np.minimum.at(first, at, low[k])
