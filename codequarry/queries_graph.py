@@ -10,7 +10,7 @@ from codequarry.operators import lookups, sessions
 from codequarry.plans import graph
 from codequarry.queries import CALLS, COCHANGE, EDGES, IS_TEST, inner, query
 
-NEAR = f"""{CALLS}, {COCHANGE}, both_ways AS (SELECT file_a, file_b, cnt FROM pairs UNION ALL SELECT file_b, file_a, cnt FROM pairs), own AS (SELECT symbol_id, file_id FROM symbols WHERE symbol_id % 50 = 1),
+NEAR = f"""{CALLS}, {COCHANGE}, both_ways AS (SELECT file_a, file_b, cnt FROM pairs UNION ALL SELECT file_b, file_a, cnt FROM pairs), own AS (SELECT symbol_id, file_id FROM symbols),
 callees AS (SELECT DISTINCT own.symbol_id, s.symbol_id AS target FROM own JOIN refs r ON r.enclosing_symbol_id = own.symbol_id JOIN defs d ON d.name = r.name AND defs <= 2 JOIN symbols s ON s.name = r.name WHERE s.symbol_id <> own.symbol_id)"""
 
 
@@ -19,7 +19,7 @@ UNION ALL SELECT symbol_id, 'caller', caller_id FROM (SELECT symbol_id, caller_i
 UNION ALL SELECT symbol_id, 'callee', target FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY target) AS r FROM callees) WHERE r <= 20
 UNION ALL SELECT symbol_id, 'cochange', file_b FROM (SELECT symbol_id, file_b, row_number() OVER (PARTITION BY symbol_id ORDER BY cnt DESC, file_b) AS r FROM own JOIN both_ways ON file_id = file_a) WHERE r <= 5""", "symbols", "refs", "files", "commit_files"))
 def _(m: Model):
-    return graph.neighborhood(m.symbols.where("symbol_id % 50 = 1"), m.symbols, m.refs, lookups.callers(m.symbols, m.refs, m.files), lookups.cochange(m.commit_files))
+    return graph.neighborhood(m.symbols, m.symbols, m.refs, lookups.callers(m.symbols, m.refs, m.files), lookups.cochange(m.commit_files))
 
 
 @query("g14_edges_once", duck("SELECT enclosing_symbol_id AS src, file_id AS dst, kind, min(line) AS depth FROM refs WHERE enclosing_symbol_id <> file_id GROUP BY ALL", "refs"))
@@ -38,9 +38,9 @@ def _(m: Model):
 
 
 @query("g18_related_tests", inner(EDGES + ", " + COCHANGE, f"""SELECT DISTINCT file_id, test_id FROM (SELECT dst AS file_id, src AS test_id FROM edges UNION ALL SELECT file_a, file_b FROM pairs UNION ALL SELECT file_b, file_a FROM pairs UNION ALL SELECT file_id, file_id FROM files)
-WHERE file_id % 10 = 0 AND test_id IN (SELECT file_id FROM files WHERE {IS_TEST})""", "refs", "symbols", "files", "commit_files"))
+WHERE test_id IN (SELECT file_id FROM files WHERE {IS_TEST})""", "refs", "symbols", "files", "commit_files"))
 def _(m: Model):
-    return graph.related_tests(m.files.where("file_id % 10 = 0"), m.files, lookups.file_ref_edges(m.refs, m.symbols, m.files), lookups.cochange(m.commit_files))
+    return graph.related_tests(m.files, m.files, lookups.file_ref_edges(m.refs, m.symbols, m.files), lookups.cochange(m.commit_files))
 
 
 @query("g11_linked_notes", inner("notes AS (SELECT event_id AS note_id, 'see load' || CAST(event_id % 1500 AS VARCHAR) || ' and get, only' || CAST(event_id AS VARCHAR) AS text FROM events), w AS (SELECT DISTINCT note_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS name FROM notes)", "SELECT note_id, name FROM (SELECT note_id, name, row_number() OVER (PARTITION BY note_id ORDER BY name) AS r FROM w WHERE name IN (SELECT name FROM symbols GROUP BY name HAVING count(*) <= 3)) WHERE r <= 8", "symbols"))
@@ -50,9 +50,9 @@ def _(m: Model):
     return graph.linked_notes(notes, m.symbols)
 
 
-@query("f27_compact_numbers", "SELECT event_id, CASE WHEN event_id * 977 >= 1000000 THEN printf('%.1fM', round(event_id * 977 / 1000000, 1)) WHEN event_id * 977 >= 1000 THEN printf('%.1fk', round(event_id * 977 / 1000, 1)) ELSE (event_id * 977)::VARCHAR END AS told FROM events WHERE event_id % 10 <> 5")
+@query("f27_compact_numbers", "SELECT event_id, CASE WHEN event_id * 977 >= 1000000 THEN printf('%.1fM', round(event_id * 977 / 1000000, 1)) WHEN event_id * 977 >= 1000 THEN printf('%.1fk', round(event_id * 977 / 1000, 1)) ELSE (event_id * 977)::VARCHAR END AS told FROM events")
 def _(m: Model):
-    return m.table("events").where("event_id % 10 <> 5").select("event_id", text.compact_number(F.col("event_id") * 977).alias("told"))
+    return m.table("events").select("event_id", text.compact_number(F.col("event_id") * 977).alias("told"))
 
 
 @query("f32_urls", r"SELECT page_id, regexp_replace(replace(url, '://', '://me:pass@'), '(?i)\b([a-z][a-z0-9+.-]*://)[^/\s@]+@', '\1', 'g') AS url FROM pages")

@@ -10,13 +10,13 @@ from codequarry.operators import lookups
 from codequarry.plans import retrieval
 from codequarry.queries import COCHANGE, inner, query
 
-ASKED = "asked AS (SELECT o_custkey % 20 AS query_id, CASE WHEN o_orderkey % 3 = 0 THEN 'get' ELSE 'load' || CAST(o_custkey AS VARCHAR) END AS word FROM orders WHERE o_orderkey <= 400)"
+ASKED = "asked AS (SELECT o_custkey % 20 AS query_id, CASE WHEN o_orderkey % 3 = 0 THEN 'get' ELSE 'load' || CAST(o_custkey AS VARCHAR) END AS word FROM orders)"
 SEEDS = f"""{ASKED}, named AS (SELECT name AS word, symbol_id, count(*) OVER (PARTITION BY name) AS n FROM (SELECT s.*, row_number() OVER (PARTITION BY name ORDER BY path, start_line, symbol_id) AS r FROM symbols s JOIN files USING (file_id)) WHERE r <= 5),
 seeds AS (SELECT query_id, symbol_id, sum(2.0::DOUBLE / n) AS score FROM asked JOIN named USING (word) GROUP BY ALL)"""
 
 
 def _seeds(m: Model):
-    asked = m.table("orders").where("o_orderkey <= 400").select((F.col("o_custkey") % 20).alias("query_id"), F.when(F.col("o_orderkey") % 3 == 0, "get").otherwise(F.concat(F.lit("load"), F.col("o_custkey").cast("string"))).alias("word"))
+    asked = m.table("orders").select((F.col("o_custkey") % 20).alias("query_id"), F.when(F.col("o_orderkey") % 3 == 0, "get").otherwise(F.concat(F.lit("load"), F.col("o_custkey").cast("string"))).alias("word"))
     return retrieval.name_seeds(asked, m.symbols.join(m.files.select("file_id", "path"), "file_id"))
 
 

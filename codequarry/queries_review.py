@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text
@@ -9,13 +10,13 @@ from codequarry.model import Model, duck
 from codequarry.operators import lookups, matching, ordered
 from codequarry.queries import inner, query
 
-MENTIONS = "mentions AS (SELECT DISTINCT array_to_string(string_split(path, '/')[-2:], '/') AS mention FROM files WHERE file_id % 7 = 0)"
+MENTIONS = "mentions AS (SELECT DISTINCT array_to_string(string_split(path, '/')[-2:], '/') AS mention FROM files)"
 
 
 @query("j17_path_suffixes", inner(MENTIONS, "SELECT mention, min(path) AS path FROM mentions JOIN files ON path = mention OR ends_with(path, '/' || mention) GROUP BY mention", "files"))
 def _(m: Model):
     parts = F.split("path", "/")
-    return matching.by_suffix(m.files.where("file_id % 7 = 0").select(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "/").alias("mention")), m.files)
+    return matching.by_suffix(m.files.select(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "/").alias("mention")), m.files)
 
 
 @query("j21_answers", duck("SELECT c.seq AS call_id, c.session, (SELECT arg_min(r.ok, r.seq) FROM agent_events r WHERE r.seq - 1 = c.seq AND r.op = 'shell') AS ok FROM agent_events c WHERE c.op = 'edit'", "agent_events"))
@@ -129,11 +130,14 @@ def _(m: Model):
     return ordered.merged_findings(m.agent_events.where("op = 'edit'").select(F.col("file_id").alias("key"), "session", F.col("ok").alias("later_fixed")))
 
 
-@query("o2_limit_before_filter", inner("c AS (SELECT DISTINCT s.symbol_id, c.symbol_id AS caller_id, c.file_id, c.start_line, s.file_id AS own FROM symbols s JOIN refs r ON r.name = s.name JOIN symbols c ON c.symbol_id = r.enclosing_symbol_id WHERE s.symbol_id % 4 = 1)", "SELECT symbol_id, caller_id FROM (SELECT symbol_id, caller_id, own, c.file_id, row_number() OVER (PARTITION BY symbol_id ORDER BY path, start_line, caller_id) AS r FROM c JOIN files f ON f.file_id = c.file_id) WHERE r <= 3 AND own <> file_id", "symbols", "refs", "files"))
+@query("o2_limit_before_filter", inner("c AS (SELECT DISTINCT s.symbol_id, c.symbol_id AS caller_id, c.file_id, c.start_line, s.file_id AS own FROM symbols s JOIN refs r ON r.name = s.name JOIN symbols c ON c.symbol_id = r.enclosing_symbol_id)", "SELECT symbol_id, caller_id FROM (SELECT symbol_id, caller_id, own, c.file_id, row_number() OVER (PARTITION BY symbol_id ORDER BY path, start_line, caller_id) AS r FROM c JOIN files f ON f.file_id = c.file_id) WHERE r <= 3 AND own <> file_id", "symbols", "refs", "files"))
 def _(m: Model):
-    s = m.symbols.where("symbol_id % 4 = 1").select("symbol_id", "name", F.col("file_id").alias("own"))
+    s = m.symbols.select("symbol_id", "name", F.col("file_id").alias("own"))
     used = m.refs.select("name", F.col("enclosing_symbol_id").alias("caller_id")).distinct()
-    calls = s.join(used, "name").join(m.symbols.select(F.col("symbol_id").alias("caller_id"), "file_id", "start_line"), "caller_id").select("symbol_id", "caller_id", "file_id", "start_line", "own").distinct()
+    # symbols of one name have the same callers, so a common name's are limited before they meet its symbols
+    by = Window.partitionBy("name").orderBy("path", "start_line", "caller_id")
+    first = used.join(m.symbols.select(F.col("symbol_id").alias("caller_id"), "file_id", "start_line"), "caller_id").join(m.files.select("file_id", "path"), "file_id").withColumn("r", F.row_number().over(by)).where("r <= 3")
+    calls = s.join(first, "name").select("symbol_id", "caller_id", "file_id", "start_line", "own").distinct()
     return ordered.limited_then_filtered(calls, m.files, F.col("own") != F.col("file_id"), 3)
 
 
