@@ -69,8 +69,18 @@ class Index:
         return len(self.common_most)
 
 
-def build(items: list[tuple[int, str]]) -> Index | None:
-    """The index of items with at least one word; None without any."""
+@dataclass
+class Statistics:
+    """Of the whole benchmark: items with at least one word, their mean length, and how many items hold each of the sorted terms."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build(items: list[tuple[int, str]], whole: Statistics | None = None) -> Index | None:
+    """The index of items with at least one word; None without any. They are the whole benchmark unless that is given."""
     words = []
     for item_id, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
@@ -91,8 +101,10 @@ def build(items: list[tuple[int, str]]) -> Index | None:
     pairs, tf = np.unique(term.astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
     t, d = pairs // n, pairs % n
     df = np.bincount(t, minlength=len(terms))
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    raw = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[d] / lengths.mean()))
+    whole = whole or Statistics(n, lengths.mean(), terms, df)
+    held = whole.df[np.searchsorted(whole.terms, terms)]
+    idf = np.log(1 + (whole.n - held + 0.5) / (held + 0.5))
+    raw = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[d] / whole.mean))
     impacts = raw / np.bincount(d, raw, minlength=n)[d]
     keys, at = np.unique(t * n + d // BLOCK, return_inverse=True)
     best = np.zeros(len(keys))
@@ -164,14 +176,40 @@ def _share(wanted: np.ndarray, held: np.ndarray, n_words: int) -> float:
     return 0.0
 
 
+def _terms(items: DataFrame) -> DataFrame:
+    """(term, n_words): the distinct terms of each item, as signed numbers, and once an item its words with a null term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in common.text_steps(batch):
+                words, before = words_of(data, offsets)
+                for a, b in zip(before[:-1], before[1:], strict=True):
+                    if b > a:
+                        terms = common.distinct(words[a:b]).view(np.int64)
+                        yield pa.record_batch({"term": pa.array([None, *terms.tolist()], pa.int64()), "n_words": pa.array([int(b - a)] + [0] * len(terms), pa.int64())})
+
+    return items.select("text").mapInArrow(run, "term bigint, n_words bigint")
+
+
 def _slices(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of all items, each of at most SLICE_CHARS of text and an item."""
     sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).withColumn("size", F.length("text"))
     run_up = Window.orderBy("size", "item_id", "text").rowsBetween(Window.unboundedPreceding, 0)
     sliced = sized.withColumn("slice", F.floor(F.sum("size").over(run_up) / SLICE_CHARS))
-    for row in sliced.select("slice").distinct().orderBy("slice").collect():
-        items = [(r["item_id"], r["text"]) for r in sliced.where(F.col("slice") == row["slice"]).orderBy("size", "item_id", "text").collect()]
-        if index := build(items):
+    slices = sliced.select("slice").distinct().orderBy("slice").collect()
+    if len(slices) > 1:
+        counts = common.written(_terms(sized).groupBy("term").agg(F.count("*").alias("df"), F.sum("n_words").alias("n_words")), "terms")
+        total = counts.where("term is null").first()
+    for row in slices:
+        some = sliced.where(F.col("slice") == row["slice"])
+        items = [(r["item_id"], r["text"]) for r in some.orderBy("size", "item_id", "text").collect()]
+        whole = None
+        if len(slices) > 1 and total:
+            held = counts.join(_terms(some).select("term").distinct(), "term").select("term", "df").toArrow()  # a slice's terms
+            terms = held.column("term").to_numpy().view(np.uint64)
+            order = np.argsort(terms)
+            whole = Statistics(total["df"], total["n_words"] / total["df"], terms[order], held.column("df").to_numpy()[order])
+        if index := build(items, whole):
             yield index
 
 

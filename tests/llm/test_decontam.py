@@ -65,3 +65,17 @@ def test_empty_tables(spark):
     assert decontam.find_leaks(docs, none).count() == 0
     assert decontam.clean(docs, none).count() == 1
     assert decontam.find_leaks(docs.limit(0), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def test_slices_score_alike(spark, monkeypatch):
+    """Scores and hits are those of one index, however many slices the benchmark takes."""
+    rng = random.Random(6)
+    bench = spark.createDataFrame(items(rng) + [(200 + i, f"w1 w2 {'w3 ' * i}") for i in range(9)], "item_id long, text string")
+    texts = [t.split() for _, t in items(random.Random(6))[:25]]
+    docs = spark.createDataFrame([(d, " ".join(w[len(w) * (d % 4) // 9 :] + ["zz"] * 5)) for d, w in enumerate(texts * 2)], "doc_id long, text string")
+    # windows depend on a slice's longest item, and these documents are shorter than any
+    told = lambda: sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontam.find_leaks(docs, bench).collect())
+    one = told()
+    monkeypatch.setattr(decontam, "SLICE_CHARS", 1200)
+    assert len(list(decontam._slices(bench))) > 2
+    assert told() == one and any(s < 0.99 for _, _, s in one)
