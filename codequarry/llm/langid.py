@@ -1,7 +1,8 @@
 """Language of a text by compression: a raw-content zstandard dictionary for each language, the smallest size wins.
 
-The model is fit on a bounded sample (DOCS_PER_LANG documents of each language, LETTERS_PER_DOC letters of each, at most
-DICT_BYTES a dictionary); the language counts that settle ties come from all learnable rows.
+The model is fit on a bounded sample of rows: of each language the first DOCS_PER_LANG documents by a hash of the id, as long as
+those before them hold less than DICT_CHARS code points. Each of them is learned whole. The language counts that settle ties
+come from all learnable rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.common import crc_fold
 
-DOCS_PER_LANG, LETTERS_PER_DOC, DICT_BYTES = 200, 4096, 256 << 10
+DOCS_PER_LANG, DICT_CHARS = 200, 256 << 10
 #: Texts are compressed in chunks, so that a long text can't become its own dictionary.
 LEVEL, CHUNK = 6, 8192
 #: A narrower lead over the second language, as a share of its size, is rejected.
@@ -34,16 +35,19 @@ def letters(text: str) -> str:
 
 
 def fit(docs: DataFrame, learnable) -> list[tuple[str, int, bytes]]:
-    """(language, rows, dictionary) of each language, most frequent first; no rows: an empty model."""
+    """(language, rows, dictionary) of each language, most frequent first; no rows: an empty model. Null ids teach nothing."""
     known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS_PER_LANG)
-    sample = known.select("doc_id", F.substring("text", 1, 2 * LETTERS_PER_DOC).alias("text")).join(F.broadcast(ids), "doc_id")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "key")
+    sized = known.select("doc_id", "lang", F.length("text").cast("long").alias("size"), F.xxhash64("text").alias("key"))
+    first = sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS_PER_LANG)
+    so_far = F.sum("size").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    ids = first.withColumn("before", so_far - F.col("size")).where(F.col("before") < DICT_CHARS).select("doc_id", F.col("lang").alias("of"), "key", "rank")
+    sample = known.withColumn("key", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "key"]).where("lang = of").select("lang", "rank", "text").dropDuplicates(["lang", "rank"])
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in sample.collect():  # DOCS_PER_LANG texts of bounded length a language
-        texts.setdefault(r["lang"], []).append((r["rank"], letters(r["text"])[:LETTERS_PER_DOC]))
-    model = [(lang, counts[lang], " ".join(t for _, t in sorted(found)).encode()[-DICT_BYTES:]) for lang, found in texts.items()]
+    for r in sample.toLocalIterator():  # DICT_CHARS code points and one text a language
+        texts.setdefault(r["lang"], []).append((r["rank"], letters(r["text"])))
+    model = [(lang, counts[lang], " ".join(t for _, t in sorted(found)).encode()) for lang, found in texts.items()]
     return sorted(model, key=lambda m: (-m[1], m[0]))
 
 
@@ -87,6 +91,10 @@ def classify(docs: DataFrame, model: list[tuple[str, int, bytes]], held_out) ->
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from documents outside fold 2 of 4, predict all. Null texts are `und`; an empty table has no rows."""
+    """Learn from documents outside fold 2 of 4, predict all: one row a document, repeated rows and null ids included.
+
+    Texts that are null or have no letter are `und`; an empty table has no rows; a very long text is compressed in chunks. Columns
+    but doc_id, text and lang aren't read.
+    """
     fold = crc_fold("doc_id", 4)
     return classify(docs, fit(docs.select("doc_id", "text", "lang"), fold != 2), fold == 2)
