@@ -29,8 +29,8 @@ CAPACITY, CLASSES, END_ID = 4096, 64, 2
 SLACK, SLACK_TOKENS = 0.02, 8
 #: Of each round's tasks, so many hand their incomplete sequences to one task of the next.
 FAN_IN = 32
-#: Distinct words that a worker remembers.
-WORDS_HELD = 400_000
+#: Distinct words that a worker remembers, and their characters: a run without spaces is one word, however long.
+WORDS_HELD, CHARS_HELD = 400_000, 4_000_000
 TOKENIZER = "word_bpe_49k.json"
 
 _COLS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int"
@@ -85,7 +85,7 @@ class WordTokenizer:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.cores: dict[str, int] = {}
-        self.words, self.plain_words = Runs(), Runs()
+        self.words, self.plain_words, self.chars = Runs(), Runs(), 0
 
     def plain_ids(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of lower-case Latin words, and their counts: each word's last id, and no other, is one that ends words."""
@@ -129,10 +129,11 @@ class WordTokenizer:
         """All ids, and the ids before each text."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
         every = [w for ws in words for w in ws]
-        if len(self.known) > WORDS_HELD:
+        if len(self.known) > WORDS_HELD or self.chars > CHARS_HELD:
             self.forget()
         if new := set(every).difference(self.known):
             self.learn(list(new))
+            self.chars += sum(map(len, new))
         ids, lengths = self.words[np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))]
         before = np.concatenate([[0], np.cumsum(lengths)])
         return ids, before[np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)]
