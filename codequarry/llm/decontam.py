@@ -2,11 +2,12 @@
 
 Impacts are BM25 contributions divided by the item's own score, so that an item's impacts sum to 1 and one threshold fits
 all. Passages are windows of 2 * L words every L words, L at least the longest item, so each occurrence lies in one window
-whole. For all windows of a step at once: the best impacts of each block of items, summed over the window's rarer terms,
-bound what the block's items can reach; only blocks whose bound and the most that common terms could add reach the
-threshold are scored. Hits are verified by the share of the item's question and answer shingles that the window holds.
+whole. The windows of a run of cells are searched at once: the best impacts of each block of items, summed over the window's
+rarer terms, bound what the block's items can reach; blocks that none of these terms is in, or whose bound and the most that
+common terms could add stay under the threshold, are skipped, and postings are read for the others alone. Hits are verified
+by the share of the item's question and answer shingles that the window holds.
 
-The index is broadcast in slices of at most SLICE_CHARS of item text; a larger benchmark takes several passes.
+The index is broadcast in slices of about SLICE_CHARS of item text; a larger benchmark takes several passes.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.5
 #: The last words of an item, its answer.
 ANSWER_PART = 0.25
 SLICE_CHARS, LEAST_WINDOW = 4 << 20, 32
+#: Words whose windows are searched at once.
+WORDS_AT_ONCE = 1 << 16
 _SEPS = common.separators(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
 
@@ -47,7 +50,11 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Items and their postings by term (term_at to items and impacts), and by block (the best impact in the block)."""
+    """Items and their postings by term (term_at to items and impacts), and by term and block.
+
+    The postings of terms are ordered by item, so each block's are a run: entry k of the sorted block_keys (term * n_blocks +
+    block) has the postings from block_from[k] to block_from[k + 1], and block_best[k] is the best impact among them.
+    """
 
     item_ids: list
     questions: list[np.ndarray]
@@ -58,7 +65,8 @@ class Index:
     items: np.ndarray
     impacts: np.ndarray
     block_at: np.ndarray
-    blocks: np.ndarray
+    block_keys: np.ndarray
+    block_from: np.ndarray
     block_best: np.ndarray
     rare: np.ndarray
     common_most: np.ndarray
@@ -106,9 +114,9 @@ def build(items: list[tuple[int, str]], whole: Statistics | None = None) -> Inde
     idf = np.log(1 + (whole.n - held + 0.5) / (held + 0.5))
     raw = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[d] / whole.mean))
     impacts = raw / np.bincount(d, raw, minlength=n)[d]
-    keys, at = np.unique(t * n + d // BLOCK, return_inverse=True)
-    best = np.zeros(len(keys))
-    np.maximum.at(best, at, impacts)
+    n_blocks = -(-n // BLOCK)
+    keys, first = np.unique(t * n_blocks + d // BLOCK, return_index=True)
+    best = np.maximum.reduceat(impacts, first)
     rare, left = np.ones(len(terms), bool), np.zeros(n)
     starts = np.searchsorted(t, np.arange(len(terms) + 1))
     for k in np.argsort(-df, kind="stable"):
@@ -117,54 +125,97 @@ def build(items: list[tuple[int, str]], whole: Statistics | None = None) -> Inde
         if more.max() > COMMON_SHARE:
             break
         left, rare[k] = more, False
-    n_blocks = -(-n // BLOCK)
     common_most = np.array([left[b * BLOCK : (b + 1) * BLOCK].max() for b in range(n_blocks)])
-    return Index([i for i, _ in words], questions, answers, lengths, terms, starts, d, impacts, np.searchsorted(keys // n, np.arange(len(terms) + 1)), keys % n, best, rare, common_most, max(LEAST_WINDOW, int(lengths.max())))
+    return Index([i for i, _ in words], questions, answers, lengths, terms, starts, d, impacts, np.searchsorted(keys // n_blocks, np.arange(len(terms) + 1)), keys, np.append(first, len(t)), best, rare, common_most, max(LEAST_WINDOW, int(lengths.max())))
 
 
-def search(index: Index, words: np.ndarray, before: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float, float, float]]:
-    """(text, item, score, question share, answer share) of every window and item at or above the threshold."""
-    size, n_blocks, n_items = index.window, index.n_blocks, len(index.item_ids)
-    counts = np.diff(before)
-    cells = -(-counts // size)
-    cell_base = np.cumsum(cells) - cells
+@dataclass
+class Cells:
+    """The cells of some texts' words and the distinct known terms of each, as sorted pairs."""
+
+    base: np.ndarray
+    counts: np.ndarray
+    cell: np.ndarray
+    term: np.ndarray
+    last: np.ndarray
+
+
+def cells_of(index: Index, words: np.ndarray, before: np.ndarray) -> Cells | None:
+    size = index.window
+    counts = -(-np.diff(before) // size)
+    base = np.cumsum(counts) - counts
     term = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
     known = np.flatnonzero(index.terms[term] == words)
     if not len(known):
-        return
+        return None
     text = np.searchsorted(before, known, "right") - 1
-    cell = cell_base[text] + (known - before[text]) // size
-    n_cells, n_terms = int(cells.sum()), len(index.terms)
-    pairs = common.distinct(cell.astype(np.int64) * n_terms + term[known])
-    p_cell, p_term = pairs // n_terms, pairs % n_terms
-    few = index.rare[p_term]
-    r_cell, r_term = p_cell[few], p_term[few]
-    n_post = index.block_at[r_term + 1] - index.block_at[r_term]
-    post = common.expand(index.block_at[r_term], n_post)
-    bound = np.bincount(np.repeat(r_cell, n_post) * n_blocks + index.blocks[post], index.block_best[post], minlength=n_cells * n_blocks).reshape(n_cells, n_blocks)
-    joined = bound.copy()
-    last = np.zeros(n_cells, bool)
-    last[(cell_base + cells - 1)[cells > 0]] = True
-    inner = np.flatnonzero(~last)
-    joined[inner] += bound[inner + 1]
-    hopeful = np.flatnonzero((joined + index.common_most >= threshold - 1e-9).any(1))
-    if not len(hopeful):
+    cell = base[text] + (known - before[text]) // size
+    pairs = common.distinct(cell.astype(np.int64) * len(index.terms) + term[known])
+    last = np.zeros(int(counts.sum()), bool)
+    last[(base + counts - 1)[counts > 0]] = True
+    return Cells(base, counts, pairs // len(index.terms), pairs % len(index.terms), last)
+
+
+def _in_windows(cells: Cells, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, term) of the windows that begin at the cells from first to end: a window has its cell's terms and the next one's."""
+    a, b, c = np.searchsorted(cells.cell, [first, end, end + 1])
+    inner = cells.cell[a + np.searchsorted(cells.cell[a:c], first + 1) : c] - 1
+    held = ~cells.last[inner]
+    return np.concatenate([cells.cell[a:b], inner[held]]), np.concatenate([cells.term[a:b], cells.term[c - len(inner) : c][held]])
+
+
+def hopeful_blocks(index: Index, window: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
+    """The sorted window * n_blocks + block whose items can reach the threshold."""
+    few = index.rare[term]
+    w, t = window[few], term[few]
+    n = index.block_at[t + 1] - index.block_at[t]
+    entry = common.expand(index.block_at[t], n)
+    at = np.repeat(w, n) * index.n_blocks + index.block_keys[entry] % index.n_blocks
+    order = np.argsort(at, kind="stable")
+    at, best = at[order], index.block_best[entry[order]]
+    if not len(at):
+        return at
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    bound = np.add.reduceat(best, first)
+    return at[first][bound + index.common_most[at[first] % index.n_blocks] >= threshold - 1e-9]
+
+
+def _scores(index: Index, blocks: np.ndarray, window: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """The scores of each hopeful block's items, one row of BLOCK a block; only these blocks' postings are read."""
+    pairs = common.distinct(window * len(index.terms) + term)  # a term in both cells of a window counts once
+    w, t = pairs // len(index.terms), pairs % len(index.terms)
+    of = blocks // index.n_blocks
+    lo, hi = np.searchsorted(w, of), np.searchsorted(w, of, "right")
+    row = np.repeat(np.arange(len(blocks)), hi - lo)
+    key = t[common.expand(lo, hi - lo)] * index.n_blocks + blocks[row] % index.n_blocks
+    entry = np.minimum(np.searchsorted(index.block_keys, key), len(index.block_keys) - 1)
+    found = index.block_keys[entry] == key
+    entry, row = entry[found], row[found]
+    n = index.block_from[entry + 1] - index.block_from[entry]
+    post = common.expand(index.block_from[entry], n)
+    return np.bincount(np.repeat(row, n) * BLOCK + index.items[post] % BLOCK, index.impacts[post], minlength=len(blocks) * BLOCK).reshape(-1, BLOCK)
+
+
+def search(index: Index, words: np.ndarray, before: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float, float, float]]:
+    """(text, item, score, question share, answer share) of every window and item at or above the threshold."""
+    if threshold <= COMMON_SHARE:
+        raise ValueError(f"the threshold must be over {COMMON_SHARE}, what common terms alone may reach")
+    cells = cells_of(index, words, before)
+    if cells is None:
         return
-    in_window = np.concatenate([hopeful, hopeful[~last[hopeful]] + 1])
-    owner = np.concatenate([np.arange(len(hopeful)), np.flatnonzero(~last[hopeful])])
-    lo, hi = np.searchsorted(p_cell, in_window), np.searchsorted(p_cell, in_window, "right")
-    rows = common.expand(lo, hi - lo)
-    unique = common.distinct(np.repeat(owner, hi - lo) * n_terms + p_term[rows])
-    o, t = unique // n_terms, unique % n_terms
-    n_post = index.term_at[t + 1] - index.term_at[t]
-    post = common.expand(index.term_at[t], n_post)
-    score = np.bincount(np.repeat(o, n_post) * n_items + index.items[post], index.impacts[post], minlength=len(hopeful) * n_items)
-    for hit in np.flatnonzero(score >= threshold - 1e-9):
-        at, item = hopeful[hit // n_items], int(hit % n_items)
-        doc = int(np.searchsorted(cell_base + cells, at, "right"))
-        start = before[doc] + (at - cell_base[doc]) * size
-        held = words[start : min(start + 2 * size, before[doc + 1])]
-        yield doc, item, float(score[hit]), _share(index.questions[item], held, index.lengths[item]), _share(index.answers[item], held, index.lengths[item])
+    size, many = index.window, max(1, WORDS_AT_ONCE // index.window)
+    for from_cell in range(0, len(cells.last), many):
+        window, term = _in_windows(cells, from_cell, from_cell + many)
+        blocks = hopeful_blocks(index, window, term, threshold)
+        if not len(blocks):
+            continue
+        score = _scores(index, blocks, window, term)
+        for row, k in zip(*np.nonzero(score >= threshold - 1e-9), strict=True):
+            at, item = int(blocks[row] // index.n_blocks), int(blocks[row] % index.n_blocks) * BLOCK + int(k)
+            doc = int(np.searchsorted(cells.base + cells.counts, at, "right"))
+            start = before[doc] + (at - cells.base[doc]) * size
+            held = words[start : min(start + 2 * size, before[doc + 1])]
+            yield doc, item, float(score[row, k]), _share(index.questions[item], held, index.lengths[item]), _share(index.answers[item], held, index.lengths[item])
 
 
 def _share(wanted: np.ndarray, held: np.ndarray, n_words: int) -> float:
@@ -191,20 +242,37 @@ def _terms(items: DataFrame) -> DataFrame:
     return items.select("text").mapInArrow(run, "term bigint, n_words bigint")
 
 
+def _slice_bounds(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(least size, greatest size, part, parts) of the slices, from the characters of the items of each size, in order.
+
+    Neighbouring sizes share a slice while they fit; a size with more is dealt into parts.
+    """
+    out, low, held = [], None, 0
+    for size, chars in sizes:
+        if low is not None and held + chars > SLICE_CHARS:
+            out.append((low, high, 0, 1))
+            low, held = None, 0
+        parts = -(-chars // SLICE_CHARS)
+        if parts > 1:
+            out += [(size, size, k, parts) for k in range(parts)]
+            continue
+        low, high, held = size if low is None else low, size, held + chars
+    return out + ([(low, high, 0, 1)] if low is not None else [])
+
+
 def _slices(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of all items, each of at most SLICE_CHARS of text and an item."""
+    """Indexes of all items, each of about SLICE_CHARS of text; the driver holds one slice at a time, and a number for each size of item."""
     sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).withColumn("size", F.length("text"))
-    run_up = Window.orderBy("size", "item_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    sliced = sized.withColumn("slice", F.floor(F.sum("size").over(run_up) / SLICE_CHARS))
-    slices = sliced.select("slice").distinct().orderBy("slice").collect()
-    if len(slices) > 1:
+    sizes = [(r["size"], r["chars"]) for r in sized.groupBy("size").agg(F.sum(F.col("size").cast("long")).alias("chars")).orderBy("size").collect()]
+    bounds = _slice_bounds(sizes)
+    if len(bounds) > 1:
         counts = common.written(_terms(sized).groupBy("term").agg(F.count("*").alias("df"), F.sum("n_words").alias("n_words")), "terms")
         total = counts.where("term is null").first()
-    for row in slices:
-        some = sliced.where(F.col("slice") == row["slice"])
+    for low, high, part, parts in bounds:
+        some = sized.where(F.col("size").between(low, high) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part))
         items = [(r["item_id"], r["text"]) for r in some.orderBy("size", "item_id", "text").collect()]
         whole = None
-        if len(slices) > 1 and total:
+        if len(bounds) > 1 and total:
             held = counts.join(_terms(some).select("term").distinct(), "term").select("term", "df").toArrow()  # a slice's terms
             terms = held.column("term").to_numpy().view(np.uint64)
             order = np.argsort(terms)
@@ -228,8 +296,9 @@ def _leaks(index: Index, batch: pa.RecordBatch, threshold: float) -> dict[tuple[
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and test item that it holds; no row for clean documents.
 
-    Null texts hold nothing, null or empty items are in no document, repeated documents have a row each, and repeated
-    items are told once.
+    Null and empty texts hold nothing, null or empty items are in no document, repeated documents have a row each, and repeated
+    items are told once. Of a very long text the windows of WORDS_AT_ONCE words are searched at once. Columns but doc_id, text,
+    item_id and text aren't read; without documents or items there are no rows.
     """
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -254,7 +323,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that hold no test item, with all their columns."""
+    """The rows of docs that hold no test item, with all their columns, whatever their names; without items all rows."""
 
     def keep(docs: DataFrame, index: Index) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from codequarry.llm import decontam
 
@@ -34,8 +35,12 @@ def test_finds_what_is_planted_and_leaves_the_rest(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in rows if d is not None and (d, 0) not in {(x, 0) for x, _ in want})
 
 
-def test_every_window_at_the_threshold_is_found():
-    """Block-max pruning against scoring all windows with all items."""
+@pytest.mark.parametrize("at_once", [1, 400, 1 << 16])
+def test_every_window_at_the_threshold_is_found(monkeypatch, at_once):
+    """Block-max pruning against scoring all windows with all items, and fewer blocks scored than there are."""
+    monkeypatch.setattr(decontam, "WORDS_AT_ONCE", at_once)
+    scored, whole = [], decontam._scores
+    monkeypatch.setattr(decontam, "_scores", lambda index, blocks, *a: scored.append(len(blocks)) or whole(index, blocks, *a))
     rng = random.Random(8)
     index = decontam.build(items(rng))
     text = [rng.choice(WORDS[:80]) for _ in range(3000)]
@@ -57,6 +62,37 @@ def test_every_window_at_the_threshold_is_found():
                     np.add.at(score, index.items[span], index.impacts[span])
             want |= {(d, int(i), round(float(score[i]), 9)) for i in np.flatnonzero(score >= decontam.THRESHOLD - 1e-9)}
     assert got == want and want
+    n_windows = sum(-(-(b - a) // index.window) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    assert 0 < sum(scored) < n_windows * index.n_blocks
+
+
+def test_most_blocks_are_skipped():
+    """Items of words of their own: a text that holds one of them is scored with one block."""
+    index = decontam.build([(i, " ".join(f"i{i}w{k}" for k in range(20)) + " the end of it") for i in range(400)])
+    data = ("filler text the end of it " * 200 + " ".join(f"i7w{k}" for k in range(20)) + " the end of it").encode()
+    words, before = decontam.words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    cells = decontam.cells_of(index, words, before)
+    blocks = decontam.hopeful_blocks(index, *decontam._in_windows(cells, 0, len(cells.last)), decontam.THRESHOLD)
+    assert index.n_blocks == 50 and {b % 50 for b in blocks.tolist()} == {0} and len(blocks) <= 2
+    assert {i for _, i, *_ in decontam.search(index, words, before)} == {7}
+
+
+def test_slices_by_size(monkeypatch):
+    monkeypatch.setattr(decontam, "SLICE_CHARS", 100)
+    assert decontam._slice_bounds([]) == []
+    bounds = decontam._slice_bounds([(1, 40), (2, 40), (3, 40), (4, 250), (5, 10)])
+    held = [(size, part) for low, high, part, parts in bounds for size in (1, 2, 3, 4, 5) if low <= size <= high]
+    assert sorted(set(s for s, _ in held)) == [1, 2, 3, 4, 5]
+    assert len(held) == len(set(held)) == 4 + 3
+
+
+def test_long_texts_and_clashing_columns(spark):
+    bench = spark.createDataFrame([(1, "what is the tallest mountain of the moon mons huygens", 0.5)], "item_id long, text string, score double")
+    rows = [(1, "word " * 120_000 + "what is the tallest mountain of the moon mons huygens", 7), (2, "word " * 120_000, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()] == [(1, 1)]
+    left = decontam.clean(docs, bench)
+    assert left.columns == ["doc_id", "text", "item_id"] and [r["doc_id"] for r in left.collect()] == [2]
 
 
 def test_empty_tables(spark):
