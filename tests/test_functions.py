@@ -48,6 +48,24 @@ def test_commands(spark):
     assert values(spark, text.working_dir, ["cd web && npm t", "npm t"]) == ["web", None]
 
 
+RUNS = (
+    "cargo test -p core 2>&1 | tail -9", "cd a && cargo +stable nextest run", "RUST_BACKTRACE=1 cargo test", 'sh slow.sh "cargo fmt; cargo test"', "npm t", "npm run unit:test", "npm run lint-check", "pnpm -r test",
+    "pnpm --filter api test", "pnpm -C api verify", "yarn workspace api test", "npm.cmd test", "npx jest a.spec.ts", "npx playwright test", "npx cypress run", "node --test src", "python3 -m pytest tests", "python tests/test_b.py",
+    "python manage.py test shop", "python.exe manage.py check", "go.exe test ./pkg", "zig build test", "sbt test", "mvn -q verify", "mvn -pl core package", "./gradlew :api:test", "gradlew.bat :api:testReleaseUnitTest",
+    '"C:\\tools\\gradlew.bat" build', "make integration-test", "./tools/run-tests.sh", "./test.sh",
+)
+RUNS_NOT = (
+    "cargo build", "cargo add test-log", "git commit -m 'pytest passes'", "git log --grep=jest", "rg pytest src", "echo cargo test", "cat tests/test_b.py", "ls test", "npm install", "npm add t", "pnpm build", "npm run dev",
+    "./gradlew assembleRelease", "mvn compile -DskipTests", "flutter analyze", "python manage.py migrate", "test -f a.txt", "",
+)
+
+
+def test_test_commands(spark):
+    assert [c for c, v in zip(RUNS, values(spark, text.is_test_command, RUNS), strict=True) if not v] == []
+    assert [c for c, v in zip(RUNS_NOT, values(spark, text.is_test_command, RUNS_NOT), strict=True) if v] == []
+    assert values(spark, text.is_vcs_only, ["cd a && git pull 2>&1 | tail -2", "make x && git add .", "cd a"]) == [True, False, False]
+
+
 def test_secrets_and_urls(spark):
     found = values(spark, text.redact_secrets, ["api_key = abcdef123 and sk-abcdefghijklmnopqrst", "nothing"])
     assert [(r["text"], r["count"]) for r in found] == [("[redacted] and [redacted]", 2), ("nothing", 0)]
