@@ -11,7 +11,18 @@ from pyspark.sql import functions as F
 
 #: The base kinds in their order, then the kinds that this operator adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
+
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
+    "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
+}
+
+
+def _iban(country: str, length: int) -> str:
+    return rf"\b{country}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}+(?![A-Z0-9])"
+
 
 PATTERNS = {
     # \G: a match may start where the last one ended, although the run of local characters began before it.
@@ -19,13 +30,18 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+",
+    "iban": "|".join(_iban(c, n) for c, n in IBAN_LENGTHS.items()),
     "ssn": r"(?:\G|(?<![0-9-]))[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    # keys by the beginnings that their issuers give them, and whatever is assigned to a name that says so
+    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+|\bsk-[A-Za-z0-9_-]{20,}+|\bxox[abprs]-[A-Za-z0-9-]{10,}+|\bAIza[A-Za-z0-9_-]{35}"
+    r"|(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d)\x20?[:=]\x20?[\x22\x27]?)[A-Za-z0-9_+/=-]{8,}+",
 }
 #: A text without this can't hold the kind.
 NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
+#: A key holds letters and digits, and at least so many different characters.
+KEY_CHARS = 8
 #: Score of a confirmed span, and what a context word within CONTEXT_CHARS adds.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.7}
 CONTEXT = {
     "email": "mail|contact|write",
     "ip": "server|host|address|login",
@@ -33,6 +49,7 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account|konto",
     "ssn": "ssn|social|security",
+    "secret": "key|secret|token|password|credential",
 }
 CONTEXT_CHARS, CONTEXT_SCORE, LEAST_SCORE = 40, 0.3, 0.5
 _SPAN = "struct<start:bigint,end:bigint,value:string>"
@@ -94,6 +111,9 @@ def _confirmed(kind: str, value: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "iban":
         return _mod97(value) == 1
+    if kind == "secret":
+        key = F.regexp_replace(value, r"^[^:=]*[:=]\x20?[\x22\x27]?", "")
+        return key.rlike("[A-Za-z]") & key.rlike("[0-9]") & (F.size(F.array_distinct(F.split(key, ""))) >= KEY_CHARS)
     return F.lit(True)
 
 
