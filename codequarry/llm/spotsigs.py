@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.llm.common import Scratch
+
 CHAIN = 2
 #: Common words of four languages.
 ANCHORS = (
@@ -23,8 +25,6 @@ ANCHORS = (
 ).split()
 #: Documents in one bucket of the ordering, about.
 BUCKET_ROWS = 4096
-#: Buckets whose first ids may be broadcast; those of more are joined by a shuffle.
-BROADCAST_BUCKETS = 100_000
 _ANCHORS = "|".join(sorted(set(ANCHORS)))
 _BREAK = r"[^\p{L}\p{N}]+"
 
@@ -58,37 +58,40 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(a == b, 1.0).when(bound < least, 0.0).otherwise(both / (F.size(x) + F.size(y) - both))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs (doc_id, text) with fp, and with next_text and next_fp of the document with the next lower id, after the lowest the highest.
 
-    Ids are cut into buckets of equal width, each sorted alone; a bucket ends with a copy of the next bucket's first row.
-    Documents that share an id are ordered by text; null ids come last.
+    Rows are cut by sampled quantiles of (doc_id, text) into buckets of about BUCKET_ROWS, each sorted alone, so neither one
+    outlying id nor many rows without an id fill a bucket; a bucket ends with a copy of the next bucket's first row. Documents
+    that share an id are ordered by text; null ids come last.
     """
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    lo, hi = (lo or 0), (hi or 0)
-    width = max(1.0, (float(hi) - float(lo) + 1) * BUCKET_ROWS / max(n, 1))
-    rank = F.coalesce("doc_id", F.lit(lo))
-    bucket = F.floor((rank.cast("double") - float(lo)) / width)
-    heads = docs.groupBy(bucket.alias("bucket")).agg(F.max(rank).alias("head"))
-    above = Window.orderBy("bucket")
-    ends = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select(F.col("head"), F.coalesce(F.lead("bucket").over(above), F.last("bucket").over(ends)).alias("into"))
-    heads = F.broadcast(heads) if n <= BROADCAST_BUCKETS * BUCKET_ROWS else heads
-    first = docs.join(heads, rank == F.col("head")).groupBy("into").agg(F.min("text").alias("text"))
-    ghosts = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("into").alias("bucket"), F.lit(1).alias("ghost"))
-    rows = docs.select("doc_id", "text", bucket.alias("bucket"), F.lit(0).alias("ghost")).unionByName(ghosts).repartition("bucket")
+    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
+    dealt = docs.select("doc_id", "text").repartitionByRange(buckets, F.desc_nulls_last("doc_id"), F.asc("text"))
+    dealt = scratch.write("dealt", dealt.withColumn("bucket", F.spark_partition_id()))
+    first = dealt.groupBy("bucket").agg(F.min_by("text", F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), "text")).alias("text"))
+    held = scratch.write("firsts", first)
+    # the bucket before each: one small row a bucket
+    ends = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    into = held.select("bucket", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.last("bucket").over(ends)).alias("into"))
+    ghosts = held.join(into, "bucket").select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("into").alias("bucket"), F.lit(1).alias("ghost"))
+    rows = dealt.select("doc_id", "text", "bucket", F.lit(0).alias("ghost")).unionByName(ghosts).repartition("bucket")
     order = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
     told = rows.withColumn("fp", fingerprint(F.col("text"))).withColumn("next", F.lead(F.struct("text", "fp")).over(order))
     return told.where("ghost = 0").select("doc_id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """Fingerprint each document and its text whose second half is replaced by the next document's beginning."""
+    """Fingerprint each document and its text whose second half is replaced by the next document's beginning.
+
+    Null texts are empty, repeated rows and null ids have a row each, an empty table has none; columns but doc_id and text aren't
+    read. Very long texts are whole values of a row.
+    """
+    scratch = Scratch(docs.sparkSession)
     told = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = with_next(told).select("doc_id", n.cast("long").alias("n_chars"), F.col("fp").alias("fingerprint"), "next_fp", edited.alias("edited"))
+    rows = with_next(told, scratch).select("doc_id", n.cast("long").alias("n_chars"), F.col("fp").alias("fingerprint"), "next_fp", edited.alias("edited"))
     rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
@@ -100,12 +103,16 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     """Members (doc_id, class_id) of equal fingerprints, and pairs (a, b, likeness) of classes at least threshold alike.
 
     A set of n signatures is in length partition floor(log n / log(1/threshold)), so that partners are in the same or a
-    neighbouring one. There, partners share one of the first n - ceil(threshold * n) + 1 signatures.
+    neighbouring one. There, partners share one of the first n - ceil(threshold * n) + 1 signatures, those first that the fewest
+    classes have.
     """
     told = docs.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fp"))
     classes = told.groupBy("fp").agg(F.min("doc_id").alias("class_id"))
     members = told.join(classes, "fp").select("doc_id", "class_id")
-    sets = classes.withColumn("sigs", F.split("fp", " ")).withColumn("n", F.size("sigs"))
+    sigs = classes.select("fp", "class_id", F.explode(F.split("fp", " ")).alias("sig"))
+    times = sigs.groupBy("sig").agg(F.count("*").alias("times"))
+    ranked = sigs.join(times, "sig").groupBy("fp", "class_id").agg(F.array_sort(F.collect_list(F.struct("times", "sig"))).alias("ranked"))
+    sets = ranked.select("fp", "class_id", F.transform("ranked", lambda x: x["sig"]).alias("sigs")).withColumn("n", F.size("sigs"))
     sets = sets.withColumn("part", F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9))
     first = sets.withColumn("sig", F.explode(F.slice("sigs", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)))
     left = first.select(F.col("class_id").alias("a"), "sig", "part", F.col("n").alias("n_a"))

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from codequarry.llm import spotsigs
+from codequarry.llm import common, spotsigs
 
 
 def words_of(text: str) -> list[str]:
@@ -95,3 +95,16 @@ def test_near_pairs_lose_nothing(spark):
     ids = sorted(set(cls.values()))
     want = {(a, b) for a in ids for b in ids if a < b and alike(fps[a], fps[b]) >= 0.6}
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
+
+
+def test_one_outlying_id_and_many_null_ids_fill_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 20)
+    rows = [(d, f"the words of number {d}") for d in range(200)] + [(10**15, "the far one")] + [(None, f"the text {k} without") for k in range(200)]
+    scratch = common.Scratch(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = spotsigs.with_next(docs, scratch).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = {(d, t): n for (d, t), (_, n) in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
+    assert {(r["doc_id"], r["text"]): r["next_text"] for r in told} == want
+    sizes = [r["count"] for r in spark.read.parquet(scratch.paths["dealt"]).groupBy("bucket").count().collect()]
+    assert max(sizes) <= 80 and len(sizes) > 8
