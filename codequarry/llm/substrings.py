@@ -269,14 +269,14 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, packed): documents compressed by blocks of ids."""
+    """(block, packed): documents compressed by blocks of ids, those without an id by blocks of their texts' crcs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = np.array([NO_ID if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64)
             for row, end, data, offsets in common.text_steps(batch):
-                block = ids[row:end] >> BLOCK_BITS
+                block = np.where(ids[row:end] == NO_ID, -1 - _crcs(data, offsets).astype(np.int64), ids[row:end] >> BLOCK_BITS)
                 names, out = [], []
                 for b in np.unique(block):
                     k = np.flatnonzero(block == b)
@@ -294,7 +294,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null text is empty. Rows that share an id don't count as smaller than each other; a null id is larger than all.
     """
-    spans = repeated(docs, length).withColumn("block", F.shiftright("doc_id", BLOCK_BITS))
+    by_crc = -1 - F.col("crc").cast("int").bitwiseAND(0xFFFF).cast("long")
+    spans = repeated(docs, length).withColumn("block", F.when(F.col("doc_id") == NO_ID, by_crc).otherwise(F.shiftright("doc_id", BLOCK_BITS)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         doc = right.column("doc_id").to_numpy()
