@@ -257,11 +257,30 @@ b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY
 query("r19_pack_files", "SELECT query_id, doc_id, used FROM (SELECT lang AS query_id, doc_id, sum((n_chars + 3) // 4) OVER (PARTITION BY lang ORDER BY doc_id)::BIGINT AS used FROM documents) WHERE used <= 8000")(
     lambda m: retrieval.pack_files(m.table("documents").select(F.col("lang").alias("query_id"), "doc_id", F.col("doc_id").alias("rank"), F.ceil(F.col("n_chars") / 4).alias("tokens")), 8000).select("query_id", "doc_id", "used")
 )
-query("r17_pack_budget")(
-    lambda m: retrieval.pack(
-        retrieval.top_k(_bm25(m), 80, "doc_id").join(m.table("documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens")), "doc_id").select("query_id", "rank", F.col("doc_id").alias("item_id"), "tokens", F.least(F.lit(30), F.col("tokens")).alias("signature_tokens")), 8000
-    )
-)
+#: Each file is a question about its own symbols, those first that the most references name.
+PACK_BUDGET = 2000
+PACK_ITEMS = f"""items AS (SELECT file_id AS query_id, symbol_id AS item_id, file_id, start_byte AS s, end_byte AS e, (end_byte - start_byte + 1) // 4 + 1 AS tokens, length(signature) // 4 + 1 AS sig,
+  row_number() OVER (PARTITION BY file_id ORDER BY coalesce(u.n, 0) DESC, start_line, symbol_id) AS rank FROM symbols LEFT JOIN (SELECT name, count(*) AS n FROM refs GROUP BY name) u USING (name)),
+fold AS (SELECT query_id, 0::BIGINT AS k, {PACK_BUDGET}::BIGINT AS room, []::STRUCT(rank BIGINT, item_id BIGINT, mode VARCHAR, cost BIGINT, s BIGINT, e BIGINT)[] AS taken FROM items GROUP BY query_id
+  UNION ALL SELECT query_id, k, CASE WHEN fits THEN room - cost ELSE room END, CASE WHEN fits THEN list_append(taken, {{'rank': k, 'item_id': item_id, 'mode': CASE WHEN whole THEN 'full' ELSE 'signature' END, 'cost': cost, 's': s, 'e': e}}) ELSE taken END
+  FROM (SELECT *, room >= 50 AND NOT inside AND cost <= room AS fits FROM (SELECT *, CASE WHEN whole THEN tokens ELSE sig END + 25 AS cost FROM (
+    SELECT f.query_id, i.rank AS k, f.room, f.taken, i.item_id, i.tokens, i.sig, i.s, i.e, len(list_filter(f.taken, lambda t: t.mode = 'full' AND t.s <= i.s AND i.e <= t.e)) > 0 AS inside,
+      len(list_filter(f.taken, lambda t: i.s <= t.s AND t.e <= i.e)) = 0 AND i.tokens + 25 <= f.room AND i.tokens + 25 <= {PACK_BUDGET * 35 // 100} AS whole
+    FROM fold f JOIN items i ON i.query_id = f.query_id AND i.rank = f.k + 1 WHERE i.rank <= 80)))),
+last AS (SELECT query_id, arg_max(taken, k) AS taken FROM fold GROUP BY query_id)"""
+
+
+@query("r17_pack_budget", inner(PACK_ITEMS, "SELECT query_id, t.rank::INT AS rank, t.item_id AS item_id, t.mode AS mode, t.cost AS cost FROM (SELECT query_id, unnest(taken) AS t FROM last)", "symbols", "refs").replace("WITH ", "WITH RECURSIVE ", 1))
+def _(m: Model) -> DataFrame:
+    used = m.refs.groupBy("name").agg(F.count("*").alias("uses"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("uses"), "start_line", "item_id")
+    items = m.symbols.join(used, "name", "left").select(
+        F.col("file_id").alias("query_id"), F.col("symbol_id").alias("item_id"), "file_id", F.col("start_byte").cast("long").alias("start"), F.col("end_byte").cast("long").alias("end"), "start_line", F.coalesce("uses", F.lit(0)).alias("uses"),
+        (F.floor((F.col("end_byte") - F.col("start_byte") + 1) / 4) + 1).alias("tokens"), text.estimate_tokens(F.col("signature")).alias("signature_tokens"),
+    )
+    return retrieval.pack(items.withColumn("rank", F.row_number().over(order)), PACK_BUDGET)
+
+
 query("r20_grep_hits", "SELECT doc_id, (len(string_split(lower(text), 'the')) - 1)::BIGINT AS hits FROM documents WHERE contains(lower(text), 'the')")(
     lambda m: m.table("documents").where(F.lower("text").contains("the")).select("doc_id", (F.size(F.split(F.lower("text"), "the")) - 1).cast("long").alias("hits"))
 )
