@@ -242,14 +242,13 @@ query("r10_above_threshold", f"WITH {BM25} SELECT query_id, count(*) AS kept FRO
 DENSE = "v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), ds AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))) AS score FROM v, v q WHERE q.vec_id % 100 = 0)"
 
 
-def _dense(m: Model) -> DataFrame:
+@query("r15_dense_top20", f"WITH {DENSE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM ds) WHERE rank <= 20")
+def _(m: Model) -> DataFrame:
     vectors = m.table("embeddings").select("vec_id", "embedding")
-    return retrieval.dense_scores(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    best = retrieval.dense_top(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 20)
+    return best.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-query("r15_dense_top20", f"WITH {DENSE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ds) WHERE rank <= 20")(
-    lambda m: retrieval.top_k(_dense(m), 20, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-)
 query("r16_rank_fusion", f"""WITH {BM25}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores),
 b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM scores) SELECT query_id, doc_id, round(sum(p), 9) AS score FROM (SELECT query_id, doc_id, 1.0 / (60 + rank) AS p FROM a WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM b WHERE rank <= 50) GROUP BY ALL""")(
     lambda m: (lambda s: retrieval.reciprocal_rank_fusion("doc_id", retrieval.top_k(s, 50, "doc_id"), retrieval.top_k(s.withColumn("score", F.lit(0)), 50, "doc_id")))(_bm25(m)).withColumn("score", F.round("score", 9))
