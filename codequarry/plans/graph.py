@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import paths, text
 from codequarry.operators import lookups
+from codequarry.shared import Scratch
 
 #: Bounds of an impact's hops, and of the folder depth.
-FIRST_HOP, SECOND_HOP, COCHANGED = 60, 20, 8
+FIRST_HOP, SECOND_HOP, SECOND_TOTAL, COCHANGED, REFERENCES = 60, 20, 60, 8, 200
 LEAST_DIRS, MOST_DIRS, DEPTHS = 14, 90, 8
 
 
@@ -52,35 +53,75 @@ def node_stats(symbols: DataFrame, files: DataFrame, calls: DataFrame) -> DataFr
     return out.select("symbol_id", F.when(known, F.coalesce("c", F.lit(0))).alias("callers"), F.when(known, F.coalesce("t", F.lit(0))).alias("test_callers"), (F.col("defs") > 1).alias("ambiguous"), (~known).alias("common"))
 
 
-def impact(symbols: DataFrame, files: DataFrame, calls: DataFrame, pairs: DataFrame, changes: DataFrame) -> DataFrame:
+def impact(symbols: DataFrame, files: DataFrame, refs: DataFrame, pairs: DataFrame, changes: DataFrame) -> DataFrame:
     """One row a change (change_id, file_id, a, z): what its innermost touched symbols reach in two hops of callers.
 
-    Hops are bounded by ranks within each change; files reached give the modules, tests and the risk.
+    A symbol has the callers among the first FIRST_HOP symbols that refer to its name, by path, line and name, and none if its
+    name has more than MAX_DEFS definitions. Of what the first hop holds, in the order of the touched symbols, each has its
+    callers among the first SECOND_HOP, until SECOND_TOTAL are reached. Files reached, those that change together with the own
+    one, and test files that refer to a touched name give the modules, the tests and the risk; `code` leaves test files out.
     """
-    path = files.select("file_id", "path", "lang")
-    hit = symbols.join(changes, "file_id").where("start_line <= z and a <= end_line").select("change_id", *symbols.columns)
-    inner = hit.alias("s").join(hit.alias("o"), lookups.contains("s", "o") & (F.col("s.change_id") == F.col("o.change_id")) & (F.col("s.symbol_id") != F.col("o.symbol_id")), "left_anti").select("change_id", "symbol_id", "signature")
-    one = inner.join(calls, "symbol_id").select("change_id", F.col("caller_id").alias("symbol_id")).distinct().join(inner.select("change_id", "symbol_id"), ["change_id", "symbol_id"], "left_anti")
-    first = Window.partitionBy("change_id").orderBy("symbol_id")
-    one = one.withColumn("r", F.row_number().over(first)).where(F.col("r") <= FIRST_HOP).drop("r")
-    two = one.join(calls, "symbol_id").select("change_id", F.col("symbol_id").alias("via"), F.col("caller_id").alias("symbol_id"))
-    two = two.join(inner.select("change_id", "symbol_id").unionByName(one), ["change_id", "symbol_id"], "left_anti")
-    two = two.withColumn("r", F.row_number().over(Window.partitionBy("change_id", "via").orderBy("symbol_id"))).where(F.col("r") <= SECOND_HOP).select("change_id", "symbol_id").distinct()
-    reached = one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2))).join(symbols.select("symbol_id", "file_id"), "symbol_id").join(path, "file_id")
-    own = changes.join(path, "file_id").select("change_id", paths.group_of(F.col("path")).alias("own_group"), F.col("file_id").alias("own_file"))
-    reached = reached.join(own, "change_id")
-    group = paths.group_of(F.col("path"))
+    scratch = Scratch(symbols.sparkSession)
+    at = files.select("file_id", "path", paths.family(F.col("lang")).alias("family"), paths.is_test_path(F.col("path")).alias("test"), paths.group_of(F.col("path")).alias("module"))
+    known = scratch.write("symbols", symbols.join(at, "file_id").join(lookups.definitions(symbols), "name"))
+    used = scratch.write("refs", refs.select("name", F.col("enclosing_symbol_id").alias("caller_id"), "line", "file_id"))
+    calls = scratch.write("calls", _first_callers(known, used))
+
+    hit = known.join(changes.withColumnRenamed("file_id", "changed"), F.col("file_id") == F.col("changed")).where("start_line <= z and a <= end_line")
+    inside = lookups.contains("s", "o") & (F.col("s.change_id") == F.col("o.change_id")) & (F.col("s.symbol_id") != F.col("o.symbol_id"))
+    inner = scratch.write("touched", hit.alias("s").join(hit.alias("o"), inside, "left_anti").select("change_id", "symbol_id", "name", "start_line", "signature", "defs", "family"))
+    own = inner.select("change_id", "symbol_id")
+    order = F.min(F.struct("start_line", "symbol_id", "r"))
+    one = inner.join(calls, "symbol_id").groupBy("change_id", "caller_id").agg(order.alias("place")).withColumnRenamed("caller_id", "symbol_id").join(own, ["change_id", "symbol_id"], "left_anti")
+    one = scratch.write("callers", one.select("change_id", "symbol_id", F.row_number().over(Window.partitionBy("change_id").orderBy("place")).alias("pos")))
+    two = one.join(calls.where(F.col("r") <= SECOND_HOP), "symbol_id").groupBy("change_id", "caller_id").agg(F.min("pos").alias("pos")).withColumnRenamed("caller_id", "symbol_id")
+    two = two.join(own.unionByName(one.drop("pos")), ["change_id", "symbol_id"], "left_anti")
+    before = F.count("*").over(Window.partitionBy("change_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1))
+    two = two.withColumn("before", before).where(F.col("before") < SECOND_TOTAL)
+
+    home = changes.join(at, "file_id").select("change_id", F.col("file_id").alias("own_file"), F.col("path").alias("own_path"), F.col("module").alias("own_module"))
+    reached = one.select("change_id", "symbol_id", F.lit(1).alias("hop")).unionByName(two.select("change_id", "symbol_id", F.lit(2).alias("hop")))
+    reached = scratch.write("reached", reached.join(known.select("symbol_id", "path", "test", "module"), "symbol_id").join(home, "change_id"))
+    other, code = F.col("module") != F.col("own_module"), ~F.col("test")
     told = reached.groupBy("change_id").agg(
-        F.count_if(F.col("hop") == 1).alias("callers"), F.count_if(F.col("hop") == 2).alias("callers2"),
-        F.countDistinct(F.when(group != F.col("own_group"), group)).alias("modules"), F.countDistinct(F.when(paths.is_test_path(F.col("path")), F.col("path"))).alias("tests"),
+        F.count_if(F.col("hop") == 1).alias("callers"), F.count_if(F.col("hop") == 2).alias("callers2"), F.count_if((F.col("hop") == 1) & code).alias("code_callers"), F.count_if((F.col("hop") == 2) & code).alias("code_callers2"),
+        F.countDistinct(F.when(other, F.col("module"))).alias("modules"), F.countDistinct(F.when(other & code, F.col("module"))).alias("code_modules"),
     )
-    partners = lookups.cochanged(pairs).withColumnRenamed("file_a", "own_file")
-    near = own.join(partners, "own_file").groupBy("change_id").agg(F.least(F.count("*"), F.lit(COCHANGED)).alias("cochanged"))
-    marks = inner.groupBy("change_id").agg(F.count("*").alias("touched"), F.max(F.col("signature").rlike(r"^@app\.")).alias("framework"))
-    out = changes.select("change_id").join(marks, "change_id", "left").join(told, "change_id", "left").join(near, "change_id", "left")
-    out = out.select("change_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("touched", "callers", "callers2", "modules", "tests", "cochanged")), F.coalesce("framework", F.lit(False)).alias("framework"))
-    level = text.risk(F.col("callers"), F.col("callers2"), F.col("modules"), F.col("cochanged"), F.col("tests") == 0, F.col("framework"))
-    return out.withColumn("risk", level["level"]).withColumn("reason", level["reason"])
+    both = lookups.cochanged(pairs).join(at.select(F.col("file_id").alias("file_b"), "path", "test"), "file_b")
+    first = Window.partitionBy("file_a").orderBy(F.desc("cnt"), "path")
+    both = both.withColumn("r", F.row_number().over(first)).where(F.col("r") <= COCHANGED)
+    near = scratch.write("cochanged", home.join(both, F.col("own_file") == F.col("file_a")).select("change_id", "path", "test"))
+    together = near.groupBy("change_id").agg(F.count("*").alias("cochanged"), F.count_if(code).alias("code_cochanged"))
+
+    named = used.join(inner.where(F.col("defs") <= lookups.MAX_DEFS).select("name").distinct(), "name", "left_semi").join(at, "file_id")
+    named = named.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("path", "line"))).where((F.col("r") <= REFERENCES) & F.col("test")).select("name", "family", "path").distinct()
+    tests = reached.where("test and path <> own_path").select("change_id", "path").unionByName(near.where("test").select("change_id", "path"))
+    tests = tests.unionByName(inner.where(F.col("defs") <= lookups.MAX_DEFS).join(named, ["name", "family"]).select("change_id", "path"))
+    tests = tests.groupBy("change_id").agg(F.countDistinct("path").alias("tests"))
+
+    mark = F.max(F.col("signature").rlike(r"^@app\.")).alias("framework")
+    marks = inner.groupBy("change_id").agg(F.count("*").alias("touched"), F.count_if(F.col("defs") > lookups.MAX_DEFS).alias("ambiguous"), (F.max("defs") == 1).alias("unique"), mark)
+    out = changes.select("change_id")
+    for part in (marks, told, together, tests):
+        out = out.join(part, "change_id", "left")
+    counts = ("touched", "ambiguous", "callers", "callers2", "code_callers", "code_callers2", "modules", "code_modules", "cochanged", "code_cochanged", "tests")
+    out = out.select("change_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("unique", "framework")))
+    untested = F.col("tests") == 0
+    all_ = text.risk(F.col("callers"), F.col("callers2"), F.col("modules"), F.col("cochanged"), untested, F.col("framework"))
+    code_ = text.risk(F.col("code_callers"), F.col("code_callers2"), F.col("code_modules"), F.col("code_cochanged"), untested, F.col("framework"))
+    return out.withColumns({"risk": all_["level"], "code_risk": code_["level"], "reason": code_["reason"]})
+
+
+def _first_callers(known: DataFrame, used: DataFrame) -> DataFrame:
+    """(symbol_id, caller_id, r): callers of one language family, outside the symbol, with their places among all that refer to the name."""
+    target = known.where(F.col("defs") <= lookups.MAX_DEFS)
+    spans = known.select(F.col("symbol_id").alias("caller_id"), "path", "start_line", F.col("name").alias("caller"), *(F.col(c).alias(f"c_{c}") for c in ("family", "file_id", "start_byte", "end_byte")))
+    naming = used.where("caller_id is not null").select("name", "caller_id").distinct().join(target.select("name").distinct(), "name", "left_semi").join(spans, "caller_id")
+    order = Window.partitionBy("name").orderBy("path", "start_line", "caller", "caller_id")
+    naming = naming.withColumn("r", F.row_number().over(order)).where(F.col("r") <= FIRST_HOP).drop("path", "start_line", "caller")
+    met = target.select("name", "symbol_id", "family", "file_id", "start_byte", "end_byte").join(naming, "name").where("family = c_family and symbol_id <> caller_id")
+    within = (F.col("file_id") == F.col("c_file_id")) & (F.col("start_byte") <= F.col("c_start_byte")) & (F.col("c_end_byte") <= F.col("end_byte"))
+    return met.where(~within).select("symbol_id", "caller_id", "r")
 
 
 def find(symbols: DataFrame, files: DataFrame, query: str, limit: int) -> DataFrame:

@@ -214,9 +214,41 @@ FROM symbols s JOIN defs ON defs.name = s.name LEFT JOIN (SELECT k.symbol_id, co
 query("g13_find", duck("SELECT tier, symbol_id, name, path FROM (SELECT CASE WHEN lower(name) = 'get' THEN 0 WHEN contains(lower(path), 'get') THEN 1 WHEN starts_with(lower(name), 'get') THEN 2 END AS tier, symbol_id, name, path, start_line FROM symbols JOIN files USING (file_id)) WHERE tier IS NOT NULL ORDER BY tier, path, start_line, symbol_id LIMIT 60", "symbols", "files"))(
     lambda m: graph.find(m.symbols, m.files, "get", 60)
 )
-query("g9_impact")(
-    lambda m: graph.impact(m.symbols, m.files, lookups.callers(m.symbols, m.refs, m.files), lookups.cochange(m.commit_files), m.files.select(F.col("file_id").alias("change_id"), "file_id", F.lit(11).alias("a"), F.lit(31).alias("z")))
-)
+GROUP_OF = "CASE WHEN NOT contains(path, '/') THEN '(root)' WHEN len(string_split(path, '/')) > 2 AND string_split(path, '/')[1] IN (" + ", ".join(f"'{c}'" for c in paths.CONTAINERS) + ") THEN string_split(path, '/')[1] || '/' || string_split(path, '/')[2] ELSE string_split(path, '/')[1] END"
+RISK = "CASE WHEN {0}callers >= 10 OR {0}modules >= 2 OR {0}callers + {0}callers2 >= 25 THEN 'high' WHEN {0}callers >= 3 OR {0}cochanged >= 3 OR ({0}callers > 0 AND tests = 0) OR framework THEN 'medium' ELSE 'low' END"
+IMPACT = f"""loc AS (SELECT file_id, path, {FAMILY} AS family, {IS_TEST} AS test, {GROUP_OF} AS module FROM files), defs AS (SELECT name, count(*) AS defs FROM symbols GROUP BY name),
+sym AS (SELECT s.*, path, family, test, module, defs FROM symbols s JOIN loc USING (file_id) JOIN defs USING (name)), changes AS (SELECT file_id AS change_id, file_id, path AS own_path, module AS own_module FROM loc),
+naming AS (SELECT name, caller_id, r FROM (SELECT u.name, c.symbol_id AS caller_id, row_number() OVER (PARTITION BY u.name ORDER BY c.path, c.start_line, c.name, c.symbol_id) AS r
+  FROM (SELECT DISTINCT name, enclosing_symbol_id FROM refs) u JOIN defs ON defs.name = u.name AND defs <= 3 JOIN sym c ON c.symbol_id = u.enclosing_symbol_id) WHERE r <= 60),
+calls AS (SELECT t.symbol_id, c.symbol_id AS caller_id, r FROM sym t JOIN naming n ON n.name = t.name AND t.defs <= 3 JOIN sym c ON c.symbol_id = n.caller_id
+  WHERE t.family = c.family AND t.symbol_id <> c.symbol_id AND NOT (t.file_id = c.file_id AND t.start_byte <= c.start_byte AND c.end_byte <= t.end_byte)),
+hit AS (SELECT change_id, s.* FROM sym s JOIN changes USING (file_id) WHERE start_line <= 31 AND 11 <= end_line),
+touched AS (SELECT * FROM hit s WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.change_id = s.change_id AND o.symbol_id <> s.symbol_id AND s.start_byte <= o.start_byte AND o.end_byte <= s.end_byte)),
+one AS (SELECT change_id, caller_id AS symbol_id, row_number() OVER (PARTITION BY change_id ORDER BY place) AS pos FROM (SELECT change_id, caller_id, min(ROW(start_line, t.symbol_id, r)) AS place FROM touched t JOIN calls USING (symbol_id) GROUP BY ALL) f
+  WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.change_id = f.change_id AND t.symbol_id = f.caller_id)),
+two AS (SELECT change_id, symbol_id FROM (SELECT *, count(*) OVER (PARTITION BY change_id ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+  SELECT o.change_id, caller_id AS symbol_id, min(pos) AS pos FROM one o JOIN calls k ON k.symbol_id = o.symbol_id AND r <= 20
+  WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.change_id = o.change_id AND t.symbol_id = k.caller_id) AND NOT EXISTS (SELECT 1 FROM one p WHERE p.change_id = o.change_id AND p.symbol_id = k.caller_id) GROUP BY ALL)) WHERE before < 60),
+reached AS (SELECT c.*, hop, s.path, s.test, s.module FROM (SELECT change_id, symbol_id, 1 AS hop FROM one UNION ALL SELECT change_id, symbol_id, 2 FROM two) JOIN sym s USING (symbol_id) JOIN changes c USING (change_id)),
+told AS (SELECT change_id, count(*) FILTER (hop = 1) AS callers, count(*) FILTER (hop = 2) AS callers2, count(*) FILTER (hop = 1 AND NOT test) AS code_callers, count(*) FILTER (hop = 2 AND NOT test) AS code_callers2,
+  count(DISTINCT module) FILTER (module <> own_module) AS modules, count(DISTINCT module) FILTER (module <> own_module AND NOT test) AS code_modules FROM reached GROUP BY change_id),
+near AS (SELECT file_a AS change_id, path, test FROM (SELECT file_a, path, test, row_number() OVER (PARTITION BY file_a ORDER BY cnt DESC, path) AS r FROM (SELECT file_a, file_b, cnt FROM pairs UNION ALL SELECT file_b, file_a, cnt FROM pairs) JOIN loc ON file_id = file_b) WHERE r <= 8),
+together AS (SELECT change_id, count(*) AS cochanged, count(*) FILTER (NOT test) AS code_cochanged FROM near GROUP BY 1),
+named AS (SELECT DISTINCT name, family, path FROM (SELECT r.name, family, path, test, row_number() OVER (PARTITION BY r.name ORDER BY path, line) AS k FROM refs r JOIN loc USING (file_id)) WHERE k <= 200 AND test),
+tested AS (SELECT change_id, count(DISTINCT path) AS tests FROM (SELECT change_id, path FROM reached WHERE test AND path <> own_path UNION ALL SELECT change_id, path FROM near WHERE test
+  UNION ALL SELECT change_id, n.path FROM touched t JOIN named n ON n.name = t.name AND n.family = t.family WHERE t.defs <= 3) GROUP BY 1),
+marks AS (SELECT change_id, count(*) AS touched, count(*) FILTER (defs > 3) AS ambiguous, max(defs) = 1 AS uniq, bool_or(starts_with(signature, '@app.')) AS framework FROM touched GROUP BY 1),
+joined AS (SELECT change_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("touched", "ambiguous", "callers", "callers2", "code_callers", "code_callers2", "modules", "code_modules", "cochanged", "code_cochanged", "tests"))},
+  coalesce(uniq, false) AS uniq, coalesce(framework, false) AS framework FROM changes LEFT JOIN marks USING (change_id) LEFT JOIN told USING (change_id) LEFT JOIN together USING (change_id) LEFT JOIN tested USING (change_id))"""
+
+
+@query("g9_impact", inner(f"{COCHANGE}, {IMPACT}", f"""SELECT * EXCLUDE (uniq), uniq AS "unique", {RISK.format("")} AS risk, {RISK.format("code_")} AS code_risk,
+  CASE WHEN code_callers >= 10 THEN 'callers' WHEN code_modules >= 2 THEN 'modules' WHEN code_callers + code_callers2 >= 25 THEN 'reach' WHEN code_callers >= 3 THEN 'callers' WHEN code_cochanged >= 3 THEN 'cochanged'
+    WHEN code_callers > 0 AND tests = 0 THEN 'untested' WHEN framework THEN 'framework' ELSE '' END AS reason FROM joined""", "symbols", "refs", "files", "commit_files"))
+def _(m: Model) -> DataFrame:
+    changes = m.files.select(F.col("file_id").alias("change_id"), "file_id", F.lit(11).alias("a"), F.lit(31).alias("z"))
+    return graph.impact(m.symbols, m.files, m.refs, lookups.cochange(m.commit_files), changes)
+
 
 # Retrieval.
 
