@@ -19,6 +19,11 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def extension(path: Column) -> Column:
+    """What follows the last dot of a path's last part; empty without one."""
+    return F.regexp_extract(path, r"\.([^./]*)$", 1)
+
+
 def dir_at(path: Column, depth: int | Column) -> Column:
     """The first `depth` folders of a path; an empty string for a file at the root."""
     parts = F.split(path, "/")

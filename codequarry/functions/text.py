@@ -245,3 +245,41 @@ def changed_span(before: Column, after: Column) -> Column:
     head = F.when(n > 0, F.coalesce(F.array_max(F.filter(upto, lambda k: F.substring(before, F.lit(1), k) == F.substring(after, F.lit(1), k))), F.lit(0))).otherwise(0)
     tail = F.when(n - head > 0, F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), n - head), lambda k: F.right(before, k) == F.right(after, k))), F.lit(0))).otherwise(0)
     return F.struct(head.alias("start"), (F.length(before) - tail).alias("end_before"), (F.length(after) - tail).alias("end_after"))
+
+
+def baseline_tokens(text: Column) -> Column:
+    """The plain estimate of four characters a token, rounded up."""
+    return F.ceil(F.length(text) / 4).cast("long")
+
+
+def plural(n: Column, word: Column) -> Column:
+    """A number with its word in the singular or plural."""
+    ending = F.when(n == 1, "").when(word.endswith("s"), "es").otherwise("s")
+    return F.concat(n.cast("string"), F.lit(" "), word, ending)
+
+
+def host_allowed(url: Column, domains: tuple[str, ...]) -> Column:
+    """Whether a URL's host is one of the domains or below one; `*.` before a domain and blanks around it don't count."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
+    found = F.lit(False)
+    for d in (d.strip().removeprefix("*.").lower() for d in domains):
+        if d:
+            found = found | (host == d) | host.endswith("." + d)
+    return found
+
+
+def carries_data(url: Column) -> Column:
+    """Whether a URL may carry data away: long queries or fragments, or a long value or path segment in it."""
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
+    value = F.exists(F.split(query, "&"), lambda v: F.length(F.regexp_replace(v, "^[^=]*=?", "")) > 40)
+    segment = F.exists(F.split(path, "/"), lambda s: F.length(s) > 80)
+    return (F.octet_length(query) > 120) | (F.octet_length(F.regexp_extract(url, "#(.*)$", 1)) > 80) | value | segment
+
+
+def command_allowed(command: Column, allowed: tuple[str, ...]) -> Column:
+    """Whether a command is an allowed one, alone or with arguments, and joins or redirects nothing."""
+    found = F.lit(False)
+    for a in allowed:
+        found = found | (command == a) | command.startswith(a + " ")
+    return found & ~command.rlike(r"[&|;><`$\n]")

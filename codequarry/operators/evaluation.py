@@ -112,3 +112,8 @@ def latest(results: DataFrame, key: str, order: str) -> DataFrame:
     rest = [c for c in results.columns if c not in (key, order)]
     best = results.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("best"))
     return best.select(key, f"best.{order}", *(f"best.{c}" for c in rest))
+
+
+def wins(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, mean_a, mean_b, wins, losses): the means of two systems' outcomes a and b, and how often either is the larger."""
+    return pairs.groupBy(key).agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.count_if(F.col("a") > F.col("b")).alias("wins"), F.count_if(F.col("a") < F.col("b")).alias("losses"))

@@ -150,3 +150,29 @@ def cochange(commit_files: DataFrame, least: int = 2, lines: tuple[int, int] = (
 def cochanged(pairs: DataFrame) -> DataFrame:
     """Pairs in both directions."""
     return pairs.select("file_a", "file_b", "cnt").unionByName(pairs.select(F.col("file_b").alias("file_a"), F.col("file_a").alias("file_b"), "cnt"))
+
+
+def scoped(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, root, rest): paths that are or lie below a root, with the longest such root and what follows it.
+
+    A path meets the roots by equality with its own beginnings, one a folder, so neither side is compared whole with the other.
+    """
+    parts = F.split("path", "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    met = files.select("path").distinct().select("path", F.explode(heads).alias("root")).join(roots.select("root").distinct(), "root")
+    best = met.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    return best.select("path", "root", F.expr("substring(path, length(root) + 2)").alias("rest"))
+
+
+def file_ref_counts(refs: DataFrame, symbols: DataFrame, files: DataFrame, most: int = MAX_DEFS) -> DataFrame:
+    """(file_id, incoming, outgoing): how many other files of its language family refer to a file, and how many it refers to."""
+    edges = file_ref_edges(refs, symbols, files, most).select("src", "dst")
+    ends = edges.select(F.inline(F.array(F.struct(F.col("dst").alias("file_id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("src").alias("file_id"), F.lit(0).alias("i"), F.lit(1).alias("o")))))
+    sums = ends.groupBy("file_id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    return files.select("file_id").join(sums, "file_id", "left").select("file_id", F.coalesce("i", F.lit(0)).alias("incoming"), F.coalesce("o", F.lit(0)).alias("outgoing"))
+
+
+def best_of_file(scored: DataFrame) -> DataFrame:
+    """(file_id, symbol_id, score): each file's row (file_id, symbol_id, start_line, score) of the highest score, the first of equal ones."""
+    order = F.struct("score", -F.col("start_line"), -F.col("symbol_id"))
+    return scored.groupBy("file_id").agg(F.max_by("symbol_id", order).alias("symbol_id"), F.max("score").alias("score"))
