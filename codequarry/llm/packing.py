@@ -1,9 +1,10 @@
 """Harmonic packing of tokenised documents into sequences of a fixed capacity.
 
 A piece of n tokens is of class j, the largest j with j * n <= capacity, and a sequence of class j takes exactly j pieces,
-so each task fills its sequences alone. Documents are cut where that saves padding: a remainder that would leave much
-of its slot empty gives off a piece that fills the next class's slot. What a task can't complete goes to the next round
-over fewer tasks, and of the last round at most j - 1 pieces a class remain, which are placed first-fit by falling length.
+so each task fills its sequences alone. The last class holds all shorter pieces, down to one token, and takes as many as fit.
+Documents are cut where that saves padding: a remainder that would leave much of its slot empty gives off a piece that fills
+the next class's slot. What a task can't complete goes to the next round over fewer tasks, and of the last round less than
+a sequence a class remains, which is placed first-fit by falling length.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ class Bins:
     """The open sequences of one task, one a class; its ids tell the round, the task and a counter."""
 
     def __init__(self, round_no: int, task: int):
-        self.base, self.count, self.open = (round_no << 56) + (task << 32), 0, {}
+        self.base, self.count, self.open, self.tokens = (round_no << 56) + (task << 32), 0, {}, 0
         self.done: list[tuple] = []
 
     def close(self, pieces: list[tuple]) -> None:
@@ -180,16 +181,23 @@ class Bins:
         self.count += 1
 
     def add(self, piece: tuple) -> None:
-        held = self.open.setdefault(piece[5], [])
+        """Fixed numbers of pieces fill the sequences; those of the last class, which has no least length, are filled by tokens."""
+        j = piece[5]
+        if j == CLASSES and self.tokens + piece[2] > CAPACITY:
+            self.close(self.open.pop(j))
+            self.tokens = 0
+        held = self.open.setdefault(j, [])
         held.append(piece)
-        if len(held) == piece[5]:
-            self.close(self.open.pop(piece[5]))
+        if j == CLASSES:
+            self.tokens += piece[2]
+        elif len(held) == j:
+            self.close(self.open.pop(j))
 
     def leave(self) -> None:
         """What is incomplete leaves without a sequence."""
         for pieces in self.open.values():
             self.done += [(*p, None, None) for p in pieces]
-        self.open = {}
+        self.open, self.tokens = {}, 0
 
     def finish(self) -> None:
         """What is incomplete is placed first-fit by falling length."""
@@ -206,7 +214,7 @@ class Bins:
             room[k] -= p[2]
         for pieces in bins:
             self.close(pieces)
-        self.open = {}
+        self.open, self.tokens = {}, 0
 
     def batch(self) -> pa.RecordBatch:
         rows, self.done = self.done, []

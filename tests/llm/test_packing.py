@@ -46,6 +46,13 @@ def test_whole_table(spark, sf_dir):
     assert n <= -(-total // packing.CAPACITY) * 1.1 + 3
 
 
+def test_short_documents_fill_their_sequences(spark):
+    rows = [(k, "a few short words " * (k % 3)) for k in range(3000)]
+    n = check(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    total = sum(len(ids_of(t)) for _, t in rows)
+    assert n <= -(-total // packing.CAPACITY) + 1
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "a" * 50_000), (4, "word " * 30_000), (None, "no id"), (5, "<|endoftext|> x <|startoftext|>"), (6, "Ünï\tcode x\r\n"), (7, "naïve. café, ß ŉ İ 漢字😀")]
     check(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect())
