@@ -26,8 +26,8 @@ from codequarry.llm.suffixes import common_prefixes, suffix_array
 LENGTH, ANCHOR = 50, 6
 #: Bytes of text a shard stands for (its strings have about three times as many), and that are cut into strings at once.
 SHARD_TEXT, STEP_TEXT = 3 << 20, 4 << 20
-#: Bytes of strings hashed at once in a shard.
-HASHED = 1 << 19
+#: Bytes of strings hashed at once in a shard, and windows of records that are looked at once.
+HASHED, EXPANDED = 1 << 19, 1 << 21
 #: Bytes of a longer text that are cut at once.
 PIECE = 4 << 20
 #: Documents whose ids agree but for so many low bits are blocked together for the last step.
@@ -243,16 +243,28 @@ def _shared(rows: np.ndarray, string: np.ndarray, data: np.ndarray, offsets: np.
     rec, p = rec[worse | most[p]], p[worse | most[p]]
     if not len(rec):
         return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    flat = common.expand(at[p], windows[p])
-    r = np.repeat(np.arange(len(rec)), windows[p])
-    gone = np.flatnonzero(best[flat] < rows["doc"][rec][r])
+    told, spans = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+    block = np.cumsum(windows[p]) // EXPANDED
+    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    for i, j in zip(cuts, np.append(cuts[1:], len(rec)), strict=True):
+        r, found = _gone(rows[rec[i:j]], at[p[i:j]], windows[p[i:j]], best, length)
+        told.append(rec[i:j][r])
+        spans.append(found)
+    return np.concatenate(told), np.concatenate(spans)
+
+
+def _gone(rows: np.ndarray, at: np.ndarray, windows: np.ndarray, best: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(record, start, end) of the runs of a record's windows, which begin at `at`, that a smaller document has by `best`."""
+    flat = common.expand(at, windows)
+    r = np.repeat(np.arange(len(rows)), windows)
+    gone = np.flatnonzero(best[flat] < rows["doc"][r])
     if not len(gone):
         return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
     new = np.concatenate([[True], (np.diff(gone) > 1) | (r[gone[1:]] != r[gone[:-1]])])
     a, b = gone[new], gone[np.append(np.flatnonzero(new)[1:], len(gone)) - 1]
-    within = np.arange(len(flat)) - np.repeat(np.cumsum(windows[p]) - windows[p], windows[p])
-    base = rows["start"][rec][r[a]].astype(np.int64)
-    return rec[r[a]], np.stack([base + within[a], base + within[b] + length], 1)
+    within = np.arange(len(flat)) - np.repeat(np.cumsum(windows) - windows, windows)
+    base = rows["start"][r[a]].astype(np.int64)
+    return r[a], np.stack([base + within[a], base + within[b] + length], 1)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:

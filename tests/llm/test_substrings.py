@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from codequarry.llm import substrings
 from codequarry.llm.suffixes import common_prefixes, suffix_array
@@ -101,3 +102,22 @@ def test_suffix_arrays():
                     want[b] = k
                 most = 2000
                 assert common_prefixes(data, sa, np.array([0]), most).tolist() == want.tolist()
+
+
+def test_records_are_looked_at_in_blocks(monkeypatch):
+    """A passage that every document shares is one string with a record a document; blocks of any size find the same ranges."""
+    passage = np.random.default_rng(3).integers(97, 123, 90).astype(np.uint8).tobytes()
+    texts = [b"%d " % k + passage + b" %d" % (k * k) for k in range(300)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    told = substrings._told(np.arange(300), substrings._crcs(data, offsets), np.zeros(300, np.int64), data, offsets, 1, 50)
+    blobs = [b for batch in substrings._packed([told], zstandard.ZstdCompressor()) for b in batch.column("packed").to_pylist()]
+
+    def found():
+        rows, string, held, at = substrings._unpacked(blobs)
+        rec, spans = substrings._shared(rows, string, held, at, 50)
+        return sorted(zip(rows["doc"][rec].tolist(), *spans.T.tolist(), strict=True))
+
+    whole = found()
+    monkeypatch.setattr(substrings, "EXPANDED", 40)
+    assert found() == whole
+    assert {d for d, _, _ in whole} == set(range(1, 300))
