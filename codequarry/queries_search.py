@@ -131,3 +131,13 @@ query("f14_path_parts", duck(r"SELECT path, regexp_extract(path, '[^/]*$') AS ba
 query("f44_plurals", "SELECT o_orderkey, CASE WHEN n = 1 THEN '1 ' || w WHEN ends_with(w, 's') THEN n || ' ' || w || 'es' ELSE n || ' ' || w || 's' END AS told FROM (SELECT o_orderkey, o_orderkey % 4 AS n, CASE WHEN o_custkey % 2 = 0 THEN 'class' ELSE 'symbol' END AS w FROM orders)")(
     lambda m: m.table("orders").select("o_orderkey", text.plural(F.col("o_orderkey") % 4, F.when(F.col("o_custkey") % 2 == 0, "class").otherwise("symbol")).alias("told"))
 )
+query("p9_inside_dir", duck("SELECT path, starts_with(path, 'src/core/') AS inside, strpos(path, '/') = 0 AS at_root FROM files", "files"))(
+    lambda m: m.files.select("path", paths.inside_dir(F.col("path"), "src/core").alias("inside"), paths.inside_dir(F.col("path"), "").alias("at_root"))
+)
+query("f41_working_dirs", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'src/d' || user_id END AS dir FROM events")(
+    lambda m: m.table("events").select("event_id", text.working_dir(F.expr("CASE WHEN event_id % 3 = 0 THEN 'cd \"src/d' || user_id || '\" && npm test' ELSE 'npm test' END")).alias("dir"))
+)
+SUBJECT = "CASE o_orderkey % 3 WHEN 0 THEN 'feat(api)!: load ' WHEN 1 THEN 'fix: mend #12 and ' ELSE 'Add ' END"
+query("f34_subjects", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'load ' WHEN 1 THEN 'mend  and ' ELSE 'Add ' END || o_custkey AS subject FROM orders")(
+    lambda m: m.table("orders").select("o_orderkey", text.clean_subject(F.expr(f"{SUBJECT} || o_custkey || ' (#' || o_orderkey || ').'")).alias("subject"))
+)
