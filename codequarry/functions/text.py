@@ -283,3 +283,9 @@ def command_allowed(command: Column, allowed: tuple[str, ...]) -> Column:
     for a in allowed:
         found = found | (command == a) | command.startswith(a + " ")
     return found & ~command.rlike(r"[&|;><`$\n]")
+
+
+def diff_line(line: Column) -> Column:
+    """What a line of a unified diff is: old or new (the files' names), hunk, deleted, added, or context; other lines are null."""
+    kinds = [("--- ", "old"), ("+++ ", "new"), ("@@ -", "hunk"), ("-", "deleted"), ("+", "added"), (" ", "context")]
+    return F.coalesce(*(F.when(line.startswith(start), kind) for start, kind in kinds))

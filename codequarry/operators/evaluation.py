@@ -87,18 +87,29 @@ def bootstrap(pairs: DataFrame, key: str, draws: int = 10_000, seed: int = 7) ->
     Outcomes take few values, so a comparison's rows are counted by difference before they meet, and a resample draws the
     counts; memory grows with neither rows nor draws.
     """
+    return _resampled(pairs.select(key, (F.col("a") - F.col("b")).cast("double").alias("diff"), F.lit(1).cast("long").alias("size")), key, draws, seed)
+
+
+def cluster_bootstrap(pairs: DataFrame, key: str, cluster: str, draws: int = 10_000, seed: int = 7) -> DataFrame:
+    """As bootstrap, but whole clusters are drawn, so questions of one repository stay together; equal clusters are counted."""
+    whole = pairs.groupBy(key, cluster).agg(F.sum((F.col("a") - F.col("b")).cast("double")).alias("diff"), F.count("*").alias("size"))
+    return _resampled(whole, key, draws, seed)
+
+
+def _resampled(drawn: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
+    """(key, mean, low, high) of what is drawn: units (key, diff, size), of which a resample takes as many as there are."""
 
     def run(some: pd.DataFrame) -> pd.DataFrame:
-        some = some.sort_values("diff")
-        diff, count = some["diff"].to_numpy(float), some["count"].to_numpy(np.int64)
+        some = some.sort_values(["diff", "size"])
+        diff, size, count = some["diff"].to_numpy(float), some["size"].to_numpy(float), some["count"].to_numpy(np.int64)
         n, block = count.sum(), max(1, DRAWN // len(diff))
         rng = np.random.default_rng(seed)
-        means = np.sort(np.concatenate([rng.multinomial(n, count / n, min(block, draws - i)) @ diff / n for i in range(0, draws, block)]))
-        return pd.DataFrame({key: [some[key].iloc[0]], "mean": [count @ diff / n], "low": [means[int(0.025 * draws)]], "high": [means[int(0.975 * draws) - 1]]})
+        taken = (rng.multinomial(n, count / n, min(block, draws - i)) for i in range(0, draws, block))
+        means = np.sort(np.concatenate([(t @ diff) / (t @ size) for t in taken]))
+        return pd.DataFrame({key: [some[key].iloc[0]], "mean": [count @ diff / (count @ size)], "low": [means[int(0.025 * draws)]], "high": [means[int(0.975 * draws) - 1]]})
 
-    kind = dict(pairs.dtypes)[key]
-    counted = pairs.groupBy(key, (F.col("a") - F.col("b")).cast("double").alias("diff")).count()
-    return counted.groupBy(key).applyInPandas(run, f"{key} {kind}, mean double, low double, high double")
+    kind = dict(drawn.dtypes)[key]
+    return drawn.groupBy(key, "diff", "size").count().groupBy(key).applyInPandas(run, f"{key} {kind}, mean double, low double, high double")
 
 
 def regressions(results: DataFrame, before: str, after: str) -> DataFrame:
@@ -117,3 +128,26 @@ def latest(results: DataFrame, key: str, order: str) -> DataFrame:
 def wins(pairs: DataFrame, key: str) -> DataFrame:
     """(key, mean_a, mean_b, wins, losses): the means of two systems' outcomes a and b, and how often either is the larger."""
     return pairs.groupBy(key).agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.count_if(F.col("a") > F.col("b")).alias("wins"), F.count_if(F.col("a") < F.col("b")).alias("losses"))
+
+
+def nets(flagged: DataFrame, gold: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, hits, outside, missed): how many items a change flags that gold holds, that it doesn't, and gold's others."""
+    one, two = (x.select(key, item).distinct().withColumn(name, F.lit(1)) for x, name in ((flagged, "f"), (gold, "g")))
+    seen = lambda f, g: F.count_if((F.col("f").isNotNull() == f) & (F.col("g").isNotNull() == g))
+    return one.join(two, [key, item], "full").groupBy(key).agg(seen(True, True).alias("hits"), seen(True, False).alias("outside"), seen(False, True).alias("missed"))
+
+
+def subgroups(per_query: DataFrame, value: str, groups: dict[str, Column]) -> DataFrame:
+    """(subgroup, n, mean) of the questions that a subgroup's condition holds for; one question may count in several, all in one pass."""
+    names = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in groups.items())))
+    return per_query.select(F.explode(names).alias("subgroup"), value).groupBy("subgroup").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def drop_difference(results: DataFrame, systems: tuple[str, str], forms: tuple[str, str]) -> DataFrame:
+    """(n, mean): how much more the first system loses from the first form to the second than the second system does.
+
+    results has (query_id, system, form, value); only questions that all four runs answered count.
+    """
+    runs = [F.max(F.when((F.col("system") == s) & (F.col("form") == f), F.col("value"))).alias(f"{k}{i}") for k, s in zip("ab", systems, strict=True) for i, f in enumerate(forms)]
+    whole = results.groupBy("query_id").agg(*runs).dropna()
+    return whole.agg(F.count("*").alias("n"), F.avg((F.col("a0") - F.col("a1")) - (F.col("b0") - F.col("b1"))).alias("mean"))

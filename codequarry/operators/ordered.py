@@ -54,3 +54,16 @@ def limited_then_filtered(callers: DataFrame, files: DataFrame, keep, most: int)
     told = callers.join(files.select("file_id", "path"), "file_id")
     by = Window.partitionBy("symbol_id").orderBy("path", "start_line", "caller_id")
     return told.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most).where(keep).select("symbol_id", "caller_id")
+
+
+def first_references(refs: DataFrame, files: DataFrame, most: int) -> DataFrame:
+    """The first `most` references to each name in the order of paths and lines, equal ones by the symbol around them."""
+    told = refs.join(files.select("file_id", "path"), "file_id")
+    by = Window.partitionBy("name").orderBy("path", "line", "enclosing_symbol_id")
+    return told.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most).select("name", "path", "line", "enclosing_symbol_id", "r")
+
+
+def review_order(files: DataFrame, change: str) -> DataFrame:
+    """The place of each changed file (level, callers, path) in its change's review: high risks first, then many callers."""
+    rank = F.when(F.col("level") == "high", 0).when(F.col("level") == "medium", 1).otherwise(2)
+    return files.withColumn("place", F.row_number().over(Window.partitionBy(change).orderBy(rank, F.desc("callers"), "path")))

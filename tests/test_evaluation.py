@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,3 +22,25 @@ def test_bootstrap_counts_rows_before_they_meet(spark):
         assert r["mean"] == pytest.approx(mean)
         assert r["low"] == pytest.approx(mean - 1.96 * error, abs=0.2 * error)
         assert r["high"] == pytest.approx(mean + 1.96 * error, abs=0.2 * error)
+
+
+def test_cluster_bootstrap_draws_whole_clusters(spark):
+    """Against resampled clusters drawn one by one; a comparison of one cluster has no spread."""
+    rng = np.random.default_rng(3)
+    rows = [("many", c, int(rng.random() < 0.2 + 0.6 * (c % 2)), int(rng.random() < 0.4)) for c in range(40) for _ in range(5 + c % 9)]
+    rows += [("one", 1, 1, 0), ("one", 1, 0, 0)]
+    told = {r["k"]: r for r in evaluation.cluster_bootstrap(spark.createDataFrame(rows, "k string, c int, a int, b int"), "k", "c", draws=4000).collect()}
+    assert [told["one"][x] for x in ("mean", "low", "high")] == [0.5, 0.5, 0.5]
+    diffs = [[a - b for k, d, a, b in rows if k == "many" and d == c] for c in range(40)]
+    drawn = sorted(np.mean(np.concatenate([diffs[c] for c in rng.integers(0, 40, 40)])) for _ in range(4000))
+    assert told["many"]["mean"] == pytest.approx(np.mean(np.concatenate(diffs)))
+    assert told["many"]["low"] == pytest.approx(drawn[100], abs=0.03)
+    assert told["many"]["high"] == pytest.approx(drawn[3899], abs=0.03)
+
+
+def test_nets_and_subgroups_of_empty_tables(spark):
+    none = spark.createDataFrame([], "k long, i long, v double")
+    assert evaluation.nets(none, none, "k", "i").collect() == []
+    assert evaluation.subgroups(none, "v", {"all": F.lit(True)}).collect() == []
+    one = spark.createDataFrame([(1, 1, 0.0), (1, 1, 0.0), (1, 2, 0.0)], none.schema)
+    assert [tuple(r) for r in evaluation.nets(one, none, "k", "i").collect()] == [(1, 0, 2, 0)]
