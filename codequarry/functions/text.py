@@ -289,3 +289,9 @@ def diff_line(line: Column) -> Column:
     """What a line of a unified diff is: old or new (the files' names), hunk, deleted, added, or context; other lines are null."""
     kinds = [("--- ", "old"), ("+++ ", "new"), ("@@ -", "hunk"), ("-", "deleted"), ("+", "added"), (" ", "context")]
     return F.coalesce(*(F.when(line.startswith(start), kind) for start, kind in kinds))
+
+
+def leaked(rewrite: Column, source: Column, gold: Column) -> Column:
+    """The distinct identifiers of gold that a rewritten question holds but its source doesn't; a null text holds none."""
+    one, two, three = (identifiers(F.coalesce(x, F.lit(""))) for x in (rewrite, source, gold))
+    return F.array_sort(F.array_intersect(F.array_except(one, two), three))

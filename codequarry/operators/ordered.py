@@ -67,3 +67,18 @@ def review_order(files: DataFrame, change: str) -> DataFrame:
     """The place of each changed file (level, callers, path) in its change's review: high risks first, then many callers."""
     rank = F.when(F.col("level") == "high", 0).when(F.col("level") == "medium", 1).otherwise(2)
     return files.withColumn("place", F.row_number().over(Window.partitionBy(change).orderBy(rank, F.desc("callers"), "path")))
+
+
+def most_changed_with(both_ways: DataFrame, files: DataFrame, most: int) -> DataFrame:
+    """The `most` files that each file (file_a) changed with most often, equal counts by path."""
+    told = both_ways.join(files.select(F.col("file_id").alias("file_b"), "path"), "file_b")
+    by = Window.partitionBy("file_a").orderBy(F.desc("cnt"), "path")
+    return told.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most).select("file_a", "path", "cnt", "r")
+
+
+def outside_folders(edges: DataFrame, most: int) -> DataFrame:
+    """The `most` folders that each folder shares most references with, in both directions together, equal ones by name."""
+    sides = F.array(*(F.struct(F.col(a).alias("dir"), F.col(b).alias("outside")) for a, b in (("src_dir", "dst_dir"), ("dst_dir", "src_dir"))))
+    told = edges.select("n", F.inline(sides)).groupBy("dir", "outside").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("dir").orderBy(F.desc("n"), "outside")
+    return told.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most).select("dir", "outside", "n", "r")

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text
 from codequarry.model import Model, duck
-from codequarry.operators import evaluation, ordered, sessions
-from codequarry.queries import query
+from codequarry.operators import evaluation, lookups, ordered, sessions
+from codequarry.plans import graph
+from codequarry.queries import COCHANGE, EDGES, inner, query
+
+DIR = "array_to_string(list_slice(string_split(path, '/'), 1, least(2, len(string_split(path, '/')) - 1)), '/')"
+WORDS = "list_filter(regexp_split_to_array(coalesce({}, ''), '[^A-Za-z0-9_]+'), lambda w: regexp_matches(w, '^[A-Za-z_]'))"
 
 
 @query("e3_cluster_bootstrap")
@@ -68,3 +72,26 @@ def _(m: Model):
     starts = F.array(*(F.lit(s) for s in ("--- a/", "+++ b/", "@@ -", "-", "+", " ", "diff --git a/")))
     line = F.concat(F.element_at(starts, (F.col("l_linenumber") % 7 + 1).cast("int")), F.col("l_partkey").cast("string"))
     return m.table("lineitem").select("l_orderkey", "l_linenumber", text.diff_line(line).alias("kind"))
+
+
+@query("o4_changed_with", inner(COCHANGE, """SELECT file_a, path, cnt, r FROM (SELECT file_a, path, cnt, row_number() OVER (PARTITION BY file_a ORDER BY cnt DESC, path) AS r
+FROM (SELECT file_a, file_b, cnt FROM pairs UNION ALL SELECT file_b, file_a, cnt FROM pairs) JOIN files ON file_id = file_b) WHERE r <= 8""", "commit_files", "files"))
+def _(m: Model):
+    return ordered.most_changed_with(lookups.cochanged(lookups.cochange(m.commit_files)), m.files, 8)
+
+
+@query("o6_outside_folders", inner(f"{EDGES}, d AS (SELECT file_id, {DIR} AS dir FROM files), e AS (SELECT a.dir AS x, b.dir AS y, n FROM edges JOIN d a ON a.file_id = src JOIN d b ON b.file_id = dst WHERE a.dir <> b.dir)",
+"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY n DESC, outside) AS r FROM (SELECT dir, outside, sum(n)::BIGINT AS n
+FROM (SELECT x AS dir, y AS outside, n FROM e UNION ALL SELECT y, x, n FROM e) GROUP BY ALL)) WHERE r <= 12""", "refs", "symbols", "files"))
+def _(m: Model):
+    return ordered.outside_folders(graph.folder_edges(m.files, lookups.file_ref_edges(m.refs, m.symbols, m.files), 2), 12)
+
+
+@query("e16_leaks", f"""WITH w AS (SELECT item_id, {WORDS.format("text")} AS ws FROM benchmark)
+SELECT a.item_id, array_to_string(list_sort(list_distinct(list_filter(a.ws, lambda x: NOT list_contains(coalesce(b.ws, []), x) AND list_contains(coalesce(c.ws, []), x)))), ' ') AS leaked
+FROM w a LEFT JOIN w b ON b.item_id = a.item_id + 1 LEFT JOIN w c ON c.item_id = a.item_id + 2""")
+def _(m: Model):
+    items = m.table("benchmark").select("item_id", "text")
+    source, gold = (items.select((F.col("item_id") - k).alias("item_id"), F.col("text").alias(name)) for k, name in ((1, "source"), (2, "gold")))
+    told = items.join(source, "item_id", "left").join(gold, "item_id", "left")
+    return told.select("item_id", F.concat_ws(" ", text.leaked(F.col("text"), F.col("source"), F.col("gold"))).alias("leaked"))

@@ -80,3 +80,9 @@ def test_changed_spans(spark):
 def test_dice_counts_repeats(spark):
     df = spark.createDataFrame([("night", "nacht"), ("aaa", "aa"), ("a", "a")], "a string, b string")
     assert [round(r[0], 6) for r in df.select(text.dice(F.col("a"), F.col("b"))).collect()] == [0.25, round(2 / 3, 6), 1.0]
+
+
+def test_diff_lines_and_leaks(spark):
+    lines = ["--- a/x", "+++ b/x", "@@ -1,2 +1 @@", "-old", "--", "+new", "++", " same", "diff --git a b", "", None]
+    assert values(spark, text.diff_line, lines) == ["old", "new", "hunk", "deleted", "deleted", "added", "added", "context", None, None, None]
+    assert values(spark, lambda x: text.leaked(x, F.lit("find foo"), F.lit("bar foo baz")), ["find foo", "find bar baz bar 9", None]) == [[], ["bar", "baz"], []]
