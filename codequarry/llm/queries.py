@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import chat, decontam, divergence, jaccard, langid, packing, pii, simhash, spotsigs, substrings, tokens, toxicity
+from codequarry.llm import chat, decontam, divergence, jaccard, langid, packing, pii, repair, simhash, spotsigs, substrings, tokens, toxicity
 from codequarry.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.digest(repair.repair(repair.damage(conversations)), conversations)
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.compare_sources(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,6 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_token_counts": op2_token_counts, "op3_suffix_array": op3_suffix_array, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_toxicity": op7_toxicity, "op8_spotsigs": op8_spotsigs, "op9_language": op9_language, "op10_packing": op10_packing, "op12_divergence": op12_divergence, "op13_simhash": op13_simhash}
+QUERIES = {"op1_chat": op1_chat, "op2_token_counts": op2_token_counts, "op3_suffix_array": op3_suffix_array, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_toxicity": op7_toxicity, "op8_spotsigs": op8_spotsigs, "op9_language": op9_language, "op10_packing": op10_packing, "op11_repair": op11_repair, "op12_divergence": op12_divergence, "op13_simhash": op13_simhash}
 
 ORACLE: dict[str, str] = {"op1_chat": chat.ORACLE, "op8_spotsigs": spotsigs.ORACLE, "op12_divergence": divergence.ORACLE}
