@@ -63,4 +63,4 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_chat": op1_chat, "op2_token_counts": op2_token_counts, "op3_suffix_array": op3_suffix_array, "op4_decontamination": op4_decontamination, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_toxicity": op7_toxicity, "op8_spotsigs": op8_spotsigs, "op9_language": op9_language, "op10_packing": op10_packing, "op11_repair": op11_repair, "op12_divergence": op12_divergence, "op13_simhash": op13_simhash}
 
-ORACLE: dict[str, str] = {"op1_chat": chat.ORACLE, "op8_spotsigs": spotsigs.ORACLE, "op12_divergence": divergence.ORACLE}
+ORACLE: dict[str, str] = {"op1_chat": chat.ORACLE, "op8_spotsigs": spotsigs.ORACLE, "op11_repair": repair.ORACLE, "op12_divergence": divergence.ORACLE}

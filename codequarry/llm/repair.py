@@ -347,3 +347,34 @@ def digest(edits: DataFrame, conversations: DataFrame) -> DataFrame:
     all_ids = conversations.select("conv_id").distinct()
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in _COUNTS]
     return all_ids.join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+#: The checksum bit by bit, and the programme with whole strings for each state: a recursion over a conversation's turns.
+ORACLE = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS step FROM range(256) r(i)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations),
+folded AS (SELECT keyed.*, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) % 20 AS fold FROM keyed, crc),
+harmed AS (SELECT conv_id, turn, copy, CASE WHEN fold = 4 THEN 'user' ELSE role END AS role, CASE fold WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM folded, (VALUES (1), (2)) c(copy) WHERE fold <> 0 AND (copy = 1 OR fold = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed FROM harmed),
+turns AS (SELECT conv_id, turn, i, role, text, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS earlier,
+  CASE WHEN trimmed = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM placed),
+ins(s, t, cost, code, told) AS (VALUES (0, 0, 0, '', ''), (0, 2, 2, 'I', chr(10) || 'user:'), (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, 0, '', ''), (1, 2, 2, 'I', chr(10) || 'user:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 2, 0, '', ''), (2, 3, 2, 'I', chr(10) || 'assistant:'), (2, 2, 4, 'II', chr(10) || 'assistant:' || chr(10) || 'user:'), (3, 3, 0, '', ''), (3, 2, 2, 'I', chr(10) || 'user:'), (3, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+ops(s, t, cost, code, initial, new_role) AS (VALUES (0, 0, 3, 'D', NULL, NULL), (1, 1, 3, 'D', NULL, NULL), (2, 2, 3, 'D', NULL, NULL), (3, 3, 3, 'D', NULL, NULL), (0, 1, 0, 'K', 's', NULL), (0, 2, 0, 'K', 'u', NULL), (1, 2, 0, 'K', 'u', NULL), (3, 2, 0, 'K', 'u', NULL), (2, 3, 0, 'K', 'a', NULL),
+  (0, 2, 2, 'R', NULL, 'user'), (1, 2, 2, 'R', NULL, 'user'), (3, 2, 2, 'R', NULL, 'user'), (2, 3, 2, 'R', NULL, 'assistant')),
+way AS (
+  SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), '') AS conv, CAST(0 AS BIGINT) AS i, 0 AS state, {'cost': CAST(0 AS BIGINT), 'audit': '', 'told': ''} AS best FROM conversations
+  UNION ALL
+  SELECT conv, w.i + 1, o.t, min({'cost': CAST(best.cost + n.cost + o.cost + CASE WHEN o.code <> 'D' AND r.fault = 3 THEN 1 ELSE 0 END AS BIGINT), 'audit': best.audit || n.code || o.code,
+    'told': best.told || n.told || CASE WHEN o.code = 'D' THEN '' ELSE chr(10) || coalesce(o.new_role, r.role) || ':' || r.text END})
+  FROM way w JOIN turns r ON coalesce(CAST(r.conv_id AS VARCHAR), '') = w.conv AND r.i = w.i + 1 JOIN ins n ON n.s = w.state JOIN ops o ON o.s = n.t AND (o.code = 'D' OR r.fault NOT IN (1, 2)) AND (o.code <> 'K' OR o.initial = r.initial)
+  GROUP BY conv, w.i, o.t),
+ends AS (SELECT conv, max(i) AS i FROM way GROUP BY conv),
+best AS (SELECT w.conv, min({'cost': best.cost + n.cost, 'audit': best.audit || n.code, 'told': best.told || n.told}) AS b FROM way w JOIN ends e ON e.conv = w.conv AND e.i = w.i JOIN ins n ON n.s = w.state AND n.t IN (0, 3) GROUP BY w.conv),
+told AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE i > 1 AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(b.cost AS BIGINT) AS cost, b.audit AS audit, sha256(substr(b.told, 2)) AS repaired_sha256
+FROM ids LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM ids.conv_id JOIN best ON best.conv = coalesce(CAST(ids.conv_id AS VARCHAR), '')
+"""

@@ -4,10 +4,11 @@ import re
 import zlib
 from itertools import product
 
+import duckdb
 import pytest
 
 from codequarry.llm import repair
-from codequarry.llm.queries import QUERIES
+from codequarry.llm.queries import ORACLE, QUERIES
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 PATTERN = re.compile(r"(s?(ua)+)?")
@@ -174,4 +175,7 @@ def test_whole_table_matches_plain_strings(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     found = QUERIES["op11_repair"](spark, sf_dir)
     assert [c for c, _ in found.dtypes] == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
-    assert sorted((tuple(r) for r in found.collect()), key=str) == plain(rows, damaged(rows))
+    expected = plain(rows, damaged(rows))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == expected
+    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS FROM '{sf_dir}/conversations.parquet'")
+    assert sorted(duckdb.sql(ORACLE["op11_repair"]).fetchall(), key=str) == expected
