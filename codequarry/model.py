@@ -35,6 +35,18 @@ SELECT l_orderkey AS enclosing_symbol_id, pk AS file_id,
 FROM {lineitem} AS r JOIN (SELECT l_orderkey AS k, min(l_partkey) AS pk FROM {lineitem} GROUP BY l_orderkey) AS l ON r.l_orderkey = l.k""",
     "commits": "SELECT o_orderkey AS hash, unix_seconds(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey % 86400 AS ct FROM {orders}",
     "commit_files": "SELECT l_orderkey AS hash, l_partkey AS file_id FROM {lineitem}",
+    "versions": """
+SELECT l_partkey AS file_id, l_orderkey AS hash, unix_seconds(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey % 86400 AS ct,
+  CASE WHEN l_orderkey % 23 = 0 THEN NULL ELSE 'def f' || CAST(s % 4 AS STRING) || '_' || CAST(l_partkey AS STRING) || CASE WHEN n % 2 = 0 THEN '(a, b):' ELSE '(a):' END || chr(10) || '    g' || CAST(n % 3 AS STRING) || '(1)' || chr(10)
+    || 'def g' || CAST((s + n) % 3 AS STRING) || '():' || chr(10) || '    return f' || CAST((s + l_orderkey) % 4 AS STRING) || '_' || CAST(l_partkey + 1 AS STRING) || '(' || CAST(n % 2 AS STRING) || ')' || chr(10) END AS text
+FROM (SELECT l_orderkey, l_partkey, min(l_suppkey) AS s, min(l_linenumber) AS n FROM {lineitem} GROUP BY l_orderkey, l_partkey) AS l JOIN {orders} ON o_orderkey = l_orderkey""",
+    "findings": """
+SELECT CAST(hash AS BIGINT) * 10000000 + file_id AS finding_id, hash % 50 AS session, hash % 3 AS period, CASE WHEN was <> becomes THEN 'dangling' ELSE 'stale' END AS kind, was AS symbol,
+  CASE WHEN was <> becomes AND hash % 3 = 0 THEN becomes END AS renamed_to, file_id AS changed_file, CASE WHEN hash % 17 = 0 THEN NULL WHEN hash % 11 = 0 THEN md5(before) ELSE md5(text) END AS after,
+  file_id - 1 AS ref_file, CASE WHEN hash % 5 <> 0 THEN 'g' || CAST(hash % 3 AS STRING) END AS caller, ct - hash % 30 * 86400 AS first_edit, ct - hash % 20 * 86400 AS last_edit
+FROM (SELECT *, regexp_extract(before, 'def (f[0-9_]+)', 1) AS was, regexp_extract(text, 'def (f[0-9_]+)', 1) AS becomes, regexp_extract(before, 'def f[0-9_]+([^:]*)', 1) AS old_head, regexp_extract(text, 'def f[0-9_]+([^:]*)', 1) AS new_head
+  FROM (SELECT *, lag(text) OVER (PARTITION BY file_id ORDER BY ct, hash) AS before FROM ({versions}) AS v) AS b WHERE before IS NOT NULL AND text IS NOT NULL) AS c
+WHERE was <> becomes OR old_head <> new_head""",
     "agent_events": """
 SELECT user_id AS session, event_id AS seq, unix_seconds(CAST(ts AS TIMESTAMP)) AS ts,
   CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'shell' ELSE 'search' END AS op,
@@ -44,6 +56,9 @@ FROM {events}""",
 TABLES = ("part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "customer", "supplier")
 
 
+RELATIONS["findings"] = RELATIONS["findings"].replace("{versions}", RELATIONS["versions"])
+
+
 def duck(sql: str, *relations: str) -> str:
     """sql for DuckDB with the named relations in front of it."""
     told = []
@@ -72,4 +87,6 @@ class Model:
     refs = cached_property(lambda self: self._relation("refs"))
     commits = cached_property(lambda self: self._relation("commits"))
     commit_files = cached_property(lambda self: self._relation("commit_files"))
+    versions = cached_property(lambda self: self._relation("versions"))
+    findings = cached_property(lambda self: self._relation("findings"))
     agent_events = cached_property(lambda self: self._relation("agent_events"))

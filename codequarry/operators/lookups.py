@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import paths
+from codequarry.operators import timeline
 
 MAX_DEFS = 3
 
@@ -114,9 +115,18 @@ def as_of_before(left: DataFrame, commits: DataFrame) -> DataFrame:
 
 def first_commit_within(edits: DataFrame, commits: DataFrame, commit_files: DataFrame, seconds: int) -> DataFrame:
     """For each edit (key, file_id, ts) the first commit that touches its file at ts or up to `seconds` later; none: no row."""
-    touching = commit_files.distinct().join(commits, "hash").select("file_id", "hash", "ct")
-    met = edits.join(touching, "file_id").where((F.col("ct") >= F.col("ts")) & (F.col("ct") <= F.col("ts") + seconds))
-    return met.groupBy("key").agg(F.min_by("hash", F.struct("ct", "hash")).alias("hash"))
+    return timeline.first_within(*_on_line(edits, commits, commit_files), seconds).select("key", F.col("tie").alias("hash"))
+
+
+def last_commit_within(edits: DataFrame, commits: DataFrame, commit_files: DataFrame, seconds: int) -> DataFrame:
+    """For each edit (key, file_id, ts) the last commit after ts, and at most `seconds` later, that touches its file; none: no row."""
+    return timeline.last_within(*_on_line(edits, commits, commit_files), seconds).select("key", F.col("tie").alias("hash"))
+
+
+def _on_line(edits: DataFrame, commits: DataFrame, commit_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    touching = commit_files.distinct().join(commits, "hash").select(F.col("file_id").alias("id"), F.col("ct").alias("at"), F.col("hash").alias("tie"), F.lit(None).cast("int").alias("value"))
+    points = edits.select("key", F.col("file_id").alias("id"), F.col("ts").alias("at"), F.lit(None).cast(dict(commits.dtypes)["hash"]).alias("tie"))
+    return points, touching
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -141,7 +151,8 @@ def wildcard_pairs(files: DataFrame) -> DataFrame:
 
 def cochange(commit_files: DataFrame, least: int = 2, lines: tuple[int, int] = (2, 30)) -> DataFrame:
     """(file_a, file_b, cnt): how many commits hold both files; commits outside the range of lines, repeats counted, don't count."""
-    sized = commit_files.groupBy("hash").agg(F.count("*").alias("n"), F.collect_set("file_id").alias("ids")).where(F.col("n").between(*lines))
+    small = commit_files.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n").between(*lines)).select("hash")
+    sized = commit_files.join(small, "hash", "left_semi").groupBy("hash").agg(F.collect_set("file_id").alias("ids"))
     one = sized.select("ids", F.explode("ids").alias("file_a"))
     pairs = one.select("file_a", F.explode("ids").alias("file_b")).where("file_a < file_b")
     return pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)

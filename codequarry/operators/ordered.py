@@ -1,4 +1,4 @@
-"""Operators on rows in an order: carried values, windows of lines, first occurrences, later commits, dropped repeats."""
+"""Operators on rows in an order: carried values, windows of lines, first occurrences, dropped repeats."""
 
 from __future__ import annotations
 
@@ -28,13 +28,6 @@ def snippets(lines: DataFrame, hit, around: int = 12) -> DataFrame:
     return kept.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).drop("island")
 
 
-def last_commit_within(left: DataFrame, commits: DataFrame, commit_files: DataFrame, seconds: int) -> DataFrame:
-    """For each row (key, file_id, ts) the last commit after ts, and at most `seconds` later, that touches its file; none: no row."""
-    touching = commit_files.distinct().join(commits, "hash").select("file_id", "hash", "ct")
-    met = left.join(touching, "file_id").where((F.col("ct") > F.col("ts")) & (F.col("ct") <= F.col("ts") + seconds))
-    return met.groupBy("key").agg(F.max_by("hash", F.struct("ct", "hash")).alias("hash"))
-
-
 def keep_newest(rows: DataFrame, group: str, n: int, *order: str) -> DataFrame:
     """The n newest rows of each group."""
     by = Window.partitionBy(group).orderBy(*(F.desc(c) for c in order))

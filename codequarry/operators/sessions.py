@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.operators import timeline
+
 GAP = 3 * 3600
-#: Dollars for a million tokens: input, output, cache read, cache write.
-PRICES = {"small": (1.0, 5.0, 0.1, 1.25), "medium": (3.0, 15.0, 0.3, 3.75), "large": (5.0, 25.0, 0.5, 6.25)}
 
 
 def periods(events: DataFrame, gap: int = GAP) -> DataFrame:
@@ -24,11 +24,12 @@ def periods(events: DataFrame, gap: int = GAP) -> DataFrame:
 
 
 def tests_after(periods_: DataFrame, events: DataFrame) -> DataFrame:
-    """For each period, the test runs from its last edit to the next period."""
-    runs = events.where("test_run").select("session", "ts")
-    within = (F.col("ts") >= F.col("last_edit")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
-    met = periods_.join(runs, "session").where(within).groupBy("session", "period").agg(F.count("*").alias("n"))
-    return periods_.select("session", "period").join(met, ["session", "period"], "left").select("session", "period", F.coalesce("n", F.lit(0)).alias("tests"))
+    """For each period, the test runs from its last edit to the next period: a run meets only the last period that ended its edits by then."""
+    runs = events.where("test_run").select(F.col("seq").alias("key"), F.col("session").alias("id"), F.col("ts").alias("at"), F.lit(None).cast("long").alias("tie"))
+    ends = periods_.select(F.col("session").alias("id"), F.col("last_edit").alias("at"), F.col("period").cast("long").alias("tie"), F.struct("session", "period", "until").alias("value"))
+    met = timeline.last_until(runs, ends).join(runs.select("key", F.col("at").alias("ts")), "key").where(F.col("value.until").isNull() | (F.col("ts") < F.col("value.until")))
+    told = met.groupBy("value.session", "value.period").agg(F.count("*").alias("n"))
+    return periods_.select("session", "period").join(told, ["session", "period"], "left").select("session", "period", F.coalesce("n", F.lit(0)).alias("tests"))
 
 
 def first_edit_position(events: DataFrame) -> DataFrame:
@@ -65,21 +66,12 @@ def model_name(model: Column) -> Column:
     return F.regexp_replace(F.substring_index(model, "[", 1), r"-[0-9]{8}$", "")
 
 
-def cost(tokens: Column, prices: Column) -> Column:
-    return tokens * prices / 1e6
-
-
 def usage_cost(uncached: Column, cached: Column, written: Column, output: Column, price_in: Column, price_out: Column) -> Column:
     """Of tokens at prices a million: what a cache gives costs a tenth of an input token, what it takes 1.25 of one; null counts as none."""
     none = lambda c: F.coalesce(c, F.lit(0))
     return (none(uncached) + none(cached) * 0.1 + none(written) * 1.25) * price_in / 1e6 + none(output) * price_out / 1e6
 
 
-def newest(sessions: DataFrame, n: int) -> DataFrame:
-    """The n sessions with the newest events."""
-    return sessions.orderBy(F.desc("last_ts"), F.desc("session")).limit(n)
-
-
 def overlaps(events: DataFrame) -> DataFrame:
     """(session, other, files): files that two sessions both edited; each file's sessions meet once."""
     one = events.where("op = 'edit'").select("session", "file_id").distinct()

@@ -117,7 +117,7 @@ def _(m: Model):
 @query("j20_last_commit_within", inner("e AS (SELECT seq AS key, file_id, ts - 800000000 + (seq * 7919) % 100000000 AS ts FROM agent_events WHERE op = 'edit')", "SELECT key, arg_max(c.hash, (c.ct, c.hash)) AS hash FROM e JOIN (SELECT DISTINCT * FROM commit_files) f USING (file_id) JOIN commits c ON c.hash = f.hash WHERE c.ct > e.ts AND c.ct <= e.ts + 1209600 GROUP BY key", "agent_events", "commits", "commit_files"))
 def _(m: Model):
     edits = m.agent_events.where("op = 'edit'").select(F.col("seq").alias("key"), "file_id", (F.col("ts") - 800000000 + (F.col("seq") * 7919) % 100000000).alias("ts"))
-    return ordered.last_commit_within(edits, m.commits, m.commit_files, 14 * 86400)
+    return lookups.last_commit_within(edits, m.commits, m.commit_files, 14 * 86400)
 
 
 @query("o12_newest", duck("SELECT session, seq FROM (SELECT session, seq, row_number() OVER (PARTITION BY session ORDER BY ts DESC, seq DESC) AS r FROM agent_events) WHERE r <= 5", "agent_events"))

@@ -47,6 +47,9 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.paths[name])
+
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more; a name that was written anew lost its older table by then."""
         for path in [self.paths.pop(name) for name in names if name in self.paths]:
