@@ -47,6 +47,21 @@ SELECT CAST(hash AS BIGINT) * 10000000 + file_id AS finding_id, hash % 50 AS ses
 FROM (SELECT *, regexp_extract(before, 'def (f[0-9_]+)', 1) AS was, regexp_extract(text, 'def (f[0-9_]+)', 1) AS becomes, regexp_extract(before, 'def f[0-9_]+([^:]*)', 1) AS old_head, regexp_extract(text, 'def f[0-9_]+([^:]*)', 1) AS new_head
   FROM (SELECT *, lag(text) OVER (PARTITION BY file_id ORDER BY ct, hash) AS before FROM ({versions}) AS v) AS b WHERE before IS NOT NULL AND text IS NOT NULL) AS c
 WHERE was <> becomes OR old_head <> new_head""",
+    "patch_texts": """
+SELECT '*** Begin Patch' || chr(10) || CASE l_linenumber % 4
+    WHEN 0 THEN '*** Add File: src/f' || CAST(l_partkey AS STRING) || '.py' || chr(10) || '+def a():' || chr(10) || '+    return ' || CAST(l_suppkey AS STRING) || chr(10)
+    WHEN 1 THEN '*** Update File: src/f' || CAST(l_partkey AS STRING) || '.py' || chr(10) || CASE WHEN l_suppkey % 2 = 0 THEN '@@ def a' || chr(10) ELSE '' END || ' def a():' || chr(10) || '-    return 1' || chr(10) || '+    return ' || CAST(l_suppkey AS STRING) || chr(10) || '@@' || chr(10) || '+tail' || chr(10)
+    WHEN 2 THEN '*** Delete File:  src/f' || CAST(l_partkey AS STRING) || '.py' || chr(10) ELSE '*** Update File: src/f' || CAST(l_partkey AS STRING) || '.py' || chr(10) || '*** Move to: lib/f' || CAST(l_suppkey AS STRING) || '.py' || chr(10) END
+  || CASE WHEN l_partkey % 3 = 0 THEN '*** Delete File: old' || CAST(l_suppkey AS STRING) || chr(10) ELSE '' END || '*** End Patch' || chr(10) AS text
+FROM {lineitem}""",
+    "log_lines": """
+SELECT 's' || CAST(user_id AS STRING) AS session, 'rollout-s' || CAST(user_id AS STRING) || '.jsonl' AS file, true AS main, event_id AS line_no, translate(CASE event_type
+    WHEN 'click' THEN '<"type":"event_msg","timestamp":"2026-01-01T00:00:' || lpad(CAST(event_id % 60 AS STRING), 2, '0') || '.5Z","payload":<"type":"item_completed","item":<"type":"FileChange","id":"c' || CAST(event_id AS STRING) || '","status":"' || CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'completed' END
+      || '","changes":<"src/../f' || CAST(event_id % 40 AS STRING) || '.py":' || CASE event_id % 3 WHEN 0 THEN '<"type":"add","content":"x' || CAST(event_id AS STRING) || '">' WHEN 1 THEN '<"type":"delete">' ELSE '<"type":"update","unified_diff":"@@ -' || CAST(event_id % 9 AS STRING) || ',0 +1 @@' || chr(92) || 'n+a' || chr(92) || 'n@@ -20 +21 @@' || chr(92) || 'n-b' || chr(92) || 'n">' END || '>>>>'
+    WHEN 'view' THEN '<"type":"event_msg","payload":<"type":"token_count","info":<"total_token_usage":<"input_tokens":' || CAST(event_id % 1000 * 3 AS STRING) || ',"cached_input_tokens":' || CAST(event_id % 1000 AS STRING) || ',"output_tokens":' || CAST(event_id % 777 AS STRING) || '>>>>'
+    WHEN 'purchase' THEN '<"type":"response_item","payload":<"type":"function_call","name":"shell","call_id":"k' || CAST(event_id AS STRING) || '","arguments":"<' || chr(92) || '"command' || chr(92) || '":[' || chr(92) || '"' || CASE WHEN event_id % 2 = 0 THEN 'pytest' ELSE 'ls' END || chr(92) || '",' || chr(92) || '"-q' || chr(92) || '"]>">>'
+    ELSE CASE WHEN event_id % 2 = 0 THEN '<"type":"turn_context","payload":<"cwd":"/work/r' || CAST(event_id % 3 AS STRING) || '","model":"m-' || CAST(event_id % 4 AS STRING) || '">>' ELSE '<"type":"brand-new">' END END, '<>', chr(123) || chr(125)) AS line
+FROM {events}""",
     "agent_events": """
 SELECT user_id AS session, event_id AS seq, unix_seconds(CAST(ts AS TIMESTAMP)) AS ts,
   CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'shell' ELSE 'search' END AS op,
@@ -89,4 +104,6 @@ class Model:
     commit_files = cached_property(lambda self: self._relation("commit_files"))
     versions = cached_property(lambda self: self._relation("versions"))
     findings = cached_property(lambda self: self._relation("findings"))
+    patch_texts = cached_property(lambda self: self._relation("patch_texts"))
+    log_lines = cached_property(lambda self: self._relation("log_lines"))
     agent_events = cached_property(lambda self: self._relation("agent_events"))
