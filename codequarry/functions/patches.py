@@ -14,6 +14,11 @@ HUNKS = "array<struct<old_start:int,lines:array<string>>>"
 MOST_BYTES = 8 << 20
 
 
+def let(value: Column, made) -> Column:
+    """made(value), where value is worked out once however often made uses it, in its lambdas too."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def _between(lines: Column, heads: Column, made) -> Column:
     """made(head line, lines until the next head) for each of the places in heads; every line is looked at once."""
     ends = F.slice(F.concat(F.slice(heads, F.lit(2), F.size(heads)), F.array(F.size(lines) + 1)), F.lit(1), F.size(heads))
@@ -33,7 +38,6 @@ def _without_end(lines: Column) -> Column:
 
 def unified_hunks(diff: Column) -> Column:
     """Hunks (old_start, lines) of a unified diff; an insertion, of no old lines, starts at the line behind it."""
-    lines = _without_end(F.split(diff, "\n"))
 
     def hunk(head: Column, rest: Column) -> Column:
         told = F.substring_index(F.substring(head, 5, 1 << 20), " ", 1)
@@ -41,7 +45,8 @@ def unified_hunks(diff: Column) -> Column:
         count = F.when(F.contains(told, F.lit(",")), F.regexp_replace(told, "^[^,]*,", "")).otherwise("1")
         return F.struct((first + (count == "0").cast("int")).alias("old_start"), rest.alias("lines"))
 
-    return _between(lines, _places(lines, lambda x: x.startswith("@@ -")), hunk)
+    cut = lambda lines: let(_places(lines, lambda x: x.startswith("@@ -")), lambda heads: _between(lines, heads, hunk))
+    return let(F.split(diff, "\n"), lambda lines: let(_without_end(lines), cut))
 
 
 def patch_operations(text: Column) -> Column:
@@ -49,7 +54,6 @@ def patch_operations(text: Column) -> Column:
 
     An added file's content are its lines behind a plus; an updated one has hunks, whose place is told by their lines alone.
     """
-    lines = _without_end(F.split(text, "\r?\n"))
     head = r"^\*\*\* (Add|Update|Delete) File: "
 
     def operation(first: Column, rest: Column) -> Column:
@@ -57,13 +61,17 @@ def patch_operations(text: Column) -> Column:
         moves = F.filter(rest, lambda x: x.startswith("*** Move to: "))
         to = F.when((kind == "update") & (F.size(moves) > 0), F.trim(F.substring(F.try_element_at(moves, F.lit(1)), 14, 1 << 20)))
         added = F.transform(F.filter(rest, lambda x: x.startswith("+")), lambda x: F.concat(F.substring(x, 2, 1 << 30), F.lit("\n")))
-        told = F.filter(rest, lambda x: ~x.startswith("*** "))
-        whole = F.when((F.size(told) > 0) & ~F.try_element_at(told, F.lit(1)).startswith("@@"), F.concat(F.array(F.lit("@@")), told)).otherwise(told)
-        hunks = _between(whole, _places(whole, lambda x: x.startswith("@@")), lambda _, body: F.struct(F.lit(None).cast("int").alias("old_start"), body.alias("lines")))
         op = F.when(to.isNotNull(), "move").otherwise(kind)
-        return F.struct(op.alias("op"), path.alias("path"), to.alias("to"), F.when(op == "add", F.array_join(added, "")).alias("content"), F.when(op == "update", hunks).cast(HUNKS).alias("hunks"))
+        return F.struct(op.alias("op"), path.alias("path"), to.alias("to"), F.when(op == "add", F.array_join(added, "")).alias("content"), F.when(op == "update", hunks(rest)).cast(HUNKS).alias("hunks"))
+
+    def hunks(rest: Column) -> Column:
+        marked = lambda told: F.when((F.size(told) > 0) & ~F.try_element_at(told, F.lit(1)).startswith("@@"), F.concat(F.array(F.lit("@@")), told)).otherwise(told)
+        one = lambda _, body: F.struct(F.lit(None).cast("int").alias("old_start"), body.alias("lines"))
+        cut = lambda lines: let(_places(lines, lambda x: x.startswith("@@")), lambda heads: _between(lines, heads, one))
+        return let(F.filter(rest, lambda x: ~x.startswith("*** ")), lambda told: let(marked(told), cut))
 
-    return _between(lines, _places(lines, lambda x: x.rlike(head)), operation)
+    cut = lambda lines: let(_places(lines, lambda x: x.rlike(head)), lambda heads: _between(lines, heads, operation))
+    return let(F.split(text, "\r?\n"), lambda lines: let(_without_end(lines), cut))
 
 
 def _located(lines: list[str], old: list[str], since: int, start: int | None) -> int | None:
