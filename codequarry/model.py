@@ -47,6 +47,16 @@ SELECT CAST(hash AS BIGINT) * 10000000 + file_id AS finding_id, hash % 50 AS ses
 FROM (SELECT *, regexp_extract(before, 'def (f[0-9_]+)', 1) AS was, regexp_extract(text, 'def (f[0-9_]+)', 1) AS becomes, regexp_extract(before, 'def f[0-9_]+([^:]*)', 1) AS old_head, regexp_extract(text, 'def f[0-9_]+([^:]*)', 1) AS new_head
   FROM (SELECT *, lag(text) OVER (PARTITION BY file_id ORDER BY ct, hash) AS before FROM ({versions}) AS v) AS b WHERE before IS NOT NULL AND text IS NOT NULL) AS c
 WHERE was <> becomes OR old_head <> new_head""",
+    "heads": """
+SELECT id, lang, CASE WHEN lang = 'java' THEN 'method' ELSE 'function' END AS kind, side, file_id, name, CASE lang WHEN 'python' THEN 'def ' WHEN 'java' THEN 'public ' || ret || ' ' WHEN 'typescript' THEN 'export function ' ELSE 'fun ' END || name || '('
+  || CASE WHEN lang = 'java' THEN kind1 || ' ' || name1 ELSE name1 || ': ' || kind1 END || CASE WHEN more % 2 <> 0 OR side = 1 AND edit = 3 THEN '' WHEN lang = 'java' THEN ', String b' WHEN more % 3 = 0 THEN ', b: String = 1' ELSE ', b: String' END
+  || CASE WHEN side = 0 OR edit NOT IN (1, 2) THEN '' WHEN lang = 'java' THEN CASE WHEN edit = 1 THEN ', int... c' ELSE ', int c' END WHEN edit = 2 THEN ', c: Byte' WHEN lang = 'typescript' THEN ', c?: Byte' ELSE ', c: Byte = 2' END || ')'
+  || CASE lang WHEN 'python' THEN ' -> ' || ret || ':' || chr(10) || '    return ' WHEN 'java' THEN ' ' || chr(123) || ' return ' ELSE ': ' || ret || ' ' || chr(123) || ' return ' END || CAST(id % 10 + CASE WHEN side = 1 AND id % 3 = 0 THEN 1 ELSE 0 END AS STRING) || CASE WHEN lang = 'python' THEN chr(10) ELSE '; ' || chr(125) END AS text
+FROM (SELECT *, CASE WHEN side = 1 AND edit = 5 THEN 'z' ELSE 'a' END AS name1, CASE WHEN side = 1 AND edit = 6 THEN 'long' WHEN lang = 'java' AND side = 1 AND edit = 0 THEN 'Integer' ELSE 'int' END AS ret,
+    CASE WHEN side = 1 AND edit = 4 THEN CASE lang WHEN 'java' THEN CASE first WHEN 0 THEN 'Integer' ELSE 'Object' END WHEN 'typescript' THEN CASE first WHEN 0 THEN 'number | null' WHEN 1 THEN 'boolean' ELSE 'null | Map<string, number>' END WHEN 'kotlin' THEN CASE first WHEN 0 THEN 'Int?' WHEN 1 THEN 'Any' ELSE 'Map<String, Int>?' END ELSE 'Any' END
+      ELSE CASE lang WHEN 'java' THEN CASE first WHEN 0 THEN 'int' WHEN 1 THEN 'String' ELSE 'Map<String, int>' END WHEN 'typescript' THEN CASE first WHEN 0 THEN 'number' WHEN 1 THEN 'string' ELSE 'Map<string, number>' END ELSE CASE first WHEN 0 THEN 'Int' WHEN 1 THEN 'String' ELSE 'Map<String, Int>' END END END AS kind1
+  FROM (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'java' WHEN 2 THEN 'typescript' ELSE 'kotlin' END AS lang, side, CAST(floor(o_orderkey / 40) AS BIGINT) AS file_id, CASE WHEN side = 1 AND o_orderkey % 5 = 0 THEN 'made' ELSE 'load' END || CAST(o_orderkey AS STRING) AS name,
+      o_custkey % 3 AS first, o_orderkey % 7 AS edit, o_orderkey % 11 AS more FROM {orders}, (SELECT 0 AS side UNION ALL SELECT 1 AS side) AS sides) AS o) AS t""",
     "patch_texts": """
 SELECT '*** Begin Patch' || chr(10) || CASE l_linenumber % 4
     WHEN 0 THEN '*** Add File: src/f' || CAST(l_partkey AS STRING) || '.py' || chr(10) || '+def a():' || chr(10) || '+    return ' || CAST(l_suppkey AS STRING) || chr(10)
@@ -104,6 +114,7 @@ class Model:
     commit_files = cached_property(lambda self: self._relation("commit_files"))
     versions = cached_property(lambda self: self._relation("versions"))
     findings = cached_property(lambda self: self._relation("findings"))
+    heads = cached_property(lambda self: self._relation("heads"))
     patch_texts = cached_property(lambda self: self._relation("patch_texts"))
     log_lines = cached_property(lambda self: self._relation("log_lines"))
     agent_events = cached_property(lambda self: self._relation("agent_events"))

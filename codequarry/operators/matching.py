@@ -34,13 +34,15 @@ def changed_since(kept: DataFrame, now: DataFrame) -> DataFrame:
     return kept.join(now.select(F.col("path").alias("p"), F.col("hash").alias("h")), F.col("path") == F.col("p"), "left").where(~F.col("hash").eqNullSafe(F.col("h"))).select("path")
 
 
-def versions(old: DataFrame, new: DataFrame) -> DataFrame:
+STEPS = (("name", "signature", "body"), ("name", "signature"), ("name", "kind"), ("name",))
+
+
+def versions(old: DataFrame, new: DataFrame, steps: tuple[tuple[str, ...], ...] = STEPS) -> DataFrame:
     """(old_id, new_id, step): symbols of a file before and after, matched one to one.
 
-    First equal name, signature and body, then equal name and signature, then equal name and kind, then equal name; equal
-    candidates pair up in their order of ids. Only what is unmatched goes to the next step.
+    First equal name, signature and body, then equal name and signature, then equal name and kind, then equal name, or by the
+    columns of other steps; equal candidates pair up in their order of ids. Only what is unmatched goes to the next step.
     """
-    steps = (("name", "signature", "body"), ("name", "signature"), ("name", "kind"), ("name",))
     out = None
     for no, names in enumerate(steps, 1):
         keys = ["file_id", *names]
