@@ -130,29 +130,41 @@ def _placed(gaps: Column, values: Column) -> Column:
     return F.aggregate(pairs, zero, step)["spans"]
 
 
-def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with `pii`: array of (start, kind_no, kind, end, score), by start, then kind; code points, end exclusive.
+def _unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores in front as it takes that no column begins with it."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = "_" + name
+    return name
 
-    Null and empty texts have no spans. Repeated rows and extra columns stay as they are, but the column pii and
-    columns named _pii_* are replaced. Base kinds are kept whatever their score; the kinds added on top need
+
+def find_pii(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
+    """df with the column `into`: array of (start, kind_no, kind, end, score), by start, then kind; code points, end exclusive.
+
+    Null and empty texts have no spans; an empty table stays empty; texts of any length are searched whole. Repeated rows and
+    extra columns stay as they are, but a column `into` is replaced. Base kinds are kept whatever their score; the kinds added on top need
     LEAST_SCORE. A match that its checksum refuses is dropped, and its text isn't searched again.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.expr("cast(array() as array<string>)")
-    out = df.withColumns({f"_pii_m_{k}": F.when(_has(body, k), F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS})
-    out = out.withColumns({f"_pii_g_{k}": F.when(F.size(f"_pii_m_{k}") > 0, F.split(body, PATTERNS[k], -1)).otherwise(none) for k in KINDS})
-    out = out.withColumns({f"_pii_s_{k}": _placed(F.col(f"_pii_g_{k}"), F.col(f"_pii_m_{k}")) for k in KINDS})
+    own = _unused(df, "_pii_")
+    out = df.withColumns({f"{own}m_{k}": F.when(_has(body, k), F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS})
+    out = out.withColumns({f"{own}g_{k}": F.when(F.size(f"{own}m_{k}") > 0, F.split(body, PATTERNS[k], -1)).otherwise(none) for k in KINDS})
+    out = out.withColumns({f"{own}s_{k}": _placed(F.col(f"{own}g_{k}"), F.col(f"{own}m_{k}")) for k in KINDS})
     kinds = []
     for k in KINDS:
-        spans = F.transform(F.filter(f"_pii_s_{k}", _confirms(k)), _scores(k, body))
+        spans = F.transform(F.filter(f"{own}s_{k}", _confirms(k)), _scores(k, body))
         kinds.append(spans if k in BASE_KINDS else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE))
-    out = out.withColumn("pii", F.array_sort(F.concat(*kinds)))
-    return out.drop(*(f"_pii_{a}_{k}" for a in "mgs" for k in KINDS))
+    out = out.withColumn(into, F.array_sort(F.concat(*kinds)))
+    return out.drop(*(f"{own}{a}_{k}" for a in "mgs" for k in KINDS))
 
 
 def redact_pii(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with each span of personal data replaced by its kind in brackets; spans that overlap become one. Null texts stay null."""
-    found = find_pii(df, text)
+    """df with each span of personal data replaced by its kind in brackets; spans that overlap become one.
+
+    Null texts stay null, repeated rows and all other columns as they are, whatever their names; an empty table stays empty.
+    """
+    spans = _unused(df, "_spans_")
+    found, merged = find_pii(df, text, spans), spans + "u"
 
     def join(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -161,11 +173,11 @@ def redact_pii(df: DataFrame, text: str = "text") -> DataFrame:
         grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
         return F.when(over, F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, piece))
 
-    found = found.withColumn("_pii_u", F.aggregate("pii", F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:string>>)"), join))
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_pii_u", lambda s: s["end"]))
-    pieces = F.zip_with("_pii_u", F.slice(ends, 1, F.size("_pii_u")), lambda s, e: F.concat(F.substring(F.col(text), (e + 1).cast("int"), (s["start"] - e).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    found = found.withColumn(merged, F.aggregate(spans, F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:string>>)"), join))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(merged, lambda s: s["end"]))
+    pieces = F.zip_with(merged, F.slice(ends, 1, F.size(merged)), lambda s, e: F.concat(F.substring(F.col(text), (e + 1).cast("int"), (s["start"] - e).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")))
     rest = F.substring(F.col(text), (F.element_at(ends, -1) + 1).cast("int"), F.length(F.col(text)))
-    return found.withColumn(text, F.when(F.size("_pii_u") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))).drop("pii", "_pii_u")
+    return found.withColumn(text, F.when(F.size(merged) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))).drop(spans, merged)
 
 
 def digest(df: DataFrame) -> DataFrame:

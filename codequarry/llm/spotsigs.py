@@ -102,13 +102,14 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, class_id) of equal fingerprints, and pairs (a, b, likeness) of classes at least threshold alike.
 
-    A set of n signatures is in length partition floor(log n / log(1/threshold)), so that partners are in the same or a
+    A class is named by the hash of its fingerprint, so rows that share an id may be in different classes, and rows without one
+    are members like any other. Null and empty texts have the empty text's fingerprint; an empty table has no rows; other columns
+    aren't read. A set of n signatures is in length partition floor(log n / log(1/threshold)), so that partners are in the same or a
     neighbouring one. There, partners share one of the first n - ceil(threshold * n) + 1 signatures, those first that the fewest
-    classes have.
+    classes have. Copies never meet, only different fingerprints do; all of a crowd of those that are alike are pairs.
     """
-    told = docs.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fp"))
-    classes = told.groupBy("fp").agg(F.min("doc_id").alias("class_id"))
-    members = told.join(classes, "fp").select("doc_id", "class_id")
+    told = docs.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fp")).withColumn("class_id", F.md5("fp"))
+    members, classes = told.select("doc_id", "class_id"), told.select("fp", "class_id").dropDuplicates(["class_id"])
     sigs = classes.select("fp", "class_id", F.explode(F.split("fp", " ")).alias("sig"))
     times = sigs.groupBy("sig").agg(F.count("*").alias("times"))
     ranked = sigs.join(times, "sig").groupBy("fp", "class_id").agg(F.array_sort(F.collect_list(F.struct("times", "sig"))).alias("ranked"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -88,15 +89,33 @@ def test_near_pairs_lose_nothing(spark):
         for _ in range(rng.choice([0, 0, 1, 2])):
             words[rng.randrange(len(words))] = f"v{rng.randrange(9)}"
         rows.append((d, " ".join(words)))
+    # ids that texts share, or lack
+    rows += [(1, rows[60][1]), (1, rows[60][1] + " the end"), (None, rows[3][1]), (None, "the last of all these words"), (500, None), (501, "")]
     members, pairs = spotsigs.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 0.6)
-    fps = {d: fingerprint(t) for d, t in rows}
-    cls = {d: min(e for e in fps if fps[e] == fps[d]) for d in fps}
-    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == cls
-    ids = sorted(set(cls.values()))
-    want = {(a, b) for a in ids for b in ids if a < b and alike(fps[a], fps[b]) >= 0.6}
+    fps = [fingerprint(t or "") for _, t in rows]
+    told = members.collect()
+    assert Counter(r["doc_id"] for r in told) == Counter(d for d, _ in rows)
+    classes = {}
+    for r in told:
+        classes.setdefault(r["class_id"], set()).add(r["doc_id"])
+    by_fp = {}
+    for (d, _), fp in zip(rows, fps, strict=True):
+        by_fp.setdefault(fp, set()).add(d)
+    assert sorted(map(str, map(sorted_, classes.values()))) == sorted(map(str, map(sorted_, by_fp.values())))
+    name = {fp: hashlib.md5(fp.encode()).hexdigest() for fp in by_fp}
+    want = {tuple(sorted((name[a], name[b]))) for a in by_fp for b in by_fp if a != b and alike(a, b) >= 0.6}
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
 
 
+def sorted_(ids):
+    return sorted(ids, key=str)
+
+
+def test_near_pairs_of_an_empty_table(spark):
+    members, pairs = spotsigs.near_pairs(spark.createDataFrame([], "doc_id long, text string, fp string, class_id int"))
+    assert members.count() == pairs.count() == 0
+
+
 def test_one_outlying_id_and_many_null_ids_fill_no_bucket(spark, monkeypatch):
     monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 20)
     rows = [(d, f"the words of number {d}") for d in range(200)] + [(10**15, "the far one")] + [(None, f"the text {k} without") for k in range(200)]
