@@ -33,6 +33,9 @@ SELECT l_orderkey AS enclosing_symbol_id, pk AS file_id,
   CASE WHEN l_partkey % 3 = 0 THEN 'only' || CAST(l_orderkey - l_orderkey % 4 + 1 AS STRING) WHEN l_partkey % 50 = 1 THEN 'get' ELSE 'load' || CAST(l_suppkey * 15 + l_linenumber AS STRING) END AS name,
   'call' AS kind, CAST(1 + (l_orderkey % 37) * 10 + l_linenumber AS INT) AS line
 FROM {lineitem} AS r JOIN (SELECT l_orderkey AS k, min(l_partkey) AS pk FROM {lineitem} GROUP BY l_orderkey) AS l ON r.l_orderkey = l.k""",
+    "texts": """
+SELECT f.file_id, CASE WHEN f.file_id % 17 = 0 THEN NULL ELSE 'Box' || CAST(f.file_id % 4 AS STRING) || ' x' || chr(10) || coalesce(CASE f.lang WHEN 'java' THEN javas WHEN 'python' THEN 'from lib import ' || names ELSE 'import ' || names || ' from "./lib";' END, '') END AS text
+FROM ({files}) AS f LEFT JOIN (SELECT file_id, string_agg('import static lib.' || name || ';', chr(10)) AS javas, string_agg(name, ', ') AS names FROM (SELECT DISTINCT file_id, name FROM ({refs}) AS r WHERE line % 4 = 0) AS d GROUP BY file_id) AS i ON i.file_id = f.file_id""",
     "commits": "SELECT o_orderkey AS hash, unix_seconds(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey % 86400 AS ct FROM {orders}",
     "commit_files": "SELECT l_orderkey AS hash, l_partkey AS file_id FROM {lineitem}",
     "versions": """
@@ -81,6 +84,7 @@ FROM {events}""",
 TABLES = ("part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "customer", "supplier")
 
 
+RELATIONS["texts"] = RELATIONS["texts"].replace("{files}", RELATIONS["files"]).replace("{refs}", RELATIONS["refs"])
 RELATIONS["findings"] = RELATIONS["findings"].replace("{versions}", RELATIONS["versions"])
 
 
@@ -110,6 +114,7 @@ class Model:
     files = cached_property(lambda self: self._relation("files"))
     symbols = cached_property(lambda self: self._relation("symbols"))
     refs = cached_property(lambda self: self._relation("refs"))
+    texts = cached_property(lambda self: self._relation("texts"))
     commits = cached_property(lambda self: self._relation("commits"))
     commit_files = cached_property(lambda self: self._relation("commit_files"))
     versions = cached_property(lambda self: self._relation("versions"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.functions import signatures
+from codequarry.functions import signatures, text
 from codequarry.model import Model
-from codequarry.operators import changes
+from codequarry.operators import changes, findings
 from codequarry.queries import inner, query
 from codequarry.shared import written
 
@@ -55,3 +55,41 @@ def _(m: Model):
 FROM h JOIN works w ON w.id = h.id LEFT JOIN renamed ON old_id = h.id WHERE side = 0 AND (h.id % 5 = 0 OR NOT works OR h.id % 3 = 0)""", "heads"))
 def _(m: Model):
     return changes.shape_changes(*_sides(m))
+
+
+#: Files whose number ends in 0 or 5 were edited: some of their symbols are gone, some have another signature.
+CHANGED = f"""c0 AS (SELECT s.symbol_id AS change_id, CASE WHEN s.symbol_id % 3 = 0 THEN 'removed' ELSE 'signature' END AS change, s.name, s.kind, CASE WHEN s.symbol_id % 9 = 1 THEN 'private ' ELSE '' END || s.signature || ' ' || s.name AS signature, s.file_id, f.path, f.lang,
+  CASE WHEN f.lang IN ('typescript', 'javascript') THEN 'js' WHEN f.lang IN ('c', 'cpp') THEN 'c' ELSE f.lang END AS family FROM symbols s JOIN files f USING (file_id) WHERE s.file_id % 5 = 0 AND s.symbol_id % 2 = 1),
+fam AS (SELECT file_id, path, lang, CASE WHEN lang IN ('typescript', 'javascript') THEN 'js' WHEN lang IN ('c', 'cpp') THEN 'c' ELSE lang END AS family FROM files),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY change, family, name ORDER BY change_id) AS nth FROM c0 WHERE length(name) >= 3 AND lower(name) NOT IN ({", ".join(f"'{w}'" for w in text.GENERIC_NAMES)}) AND NOT (lang IN ('java', 'kotlin', 'csharp', 'typescript', 'tsx') AND signature LIKE 'private %') AND signature NOT LIKE '%@app.get%'),
+remaining AS (SELECT s.name, fam.family FROM symbols s JOIN fam USING (file_id) WHERE NOT (s.file_id % 5 = 0 AND s.symbol_id % 2 = 1 AND s.symbol_id % 3 = 0)),
+c AS (SELECT * FROM c1 WHERE nth = 1 AND (SELECT count(*) FROM symbols s WHERE s.name = c1.name) <= 5 AND NOT (change = 'removed' AND EXISTS (SELECT 1 FROM remaining r WHERE r.name = c1.name AND r.family = c1.family))),
+u AS (SELECT r.*, fam.path AS ref_path, fam.family AS ref_family, row_number() OVER (PARTITION BY r.name ORDER BY fam.path, r.line, r.enclosing_symbol_id) AS nth FROM refs r JOIN fam USING (file_id)),
+met AS (SELECT c.*, u.file_id AS ref_file, u.ref_path, u.line, u.enclosing_symbol_id AS caller FROM c JOIN u ON u.name = c.name AND u.nth <= 500 AND u.ref_family = c.family AND u.file_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.name = u.name AND s.file_id = u.file_id) AND (c.change = 'removed' OR u.file_id % 4 <> 1)),
+tied AS (SELECT met.* FROM met LEFT JOIN texts t ON t.file_id = met.ref_file WHERE kind NOT IN ('function', 'method') OR lang IN ('c', 'cpp') OR t.text IS NULL OR regexp_matches(t.text, 'Box' || CAST(met.file_id % 4 AS VARCHAR) || '[^0-9]')
+  OR (lang = 'java' AND regexp_matches(t.text, 'import static lib[.]' || name || ';')) OR (lang <> 'java' AND regexp_matches(t.text, '(import |, )' || name || '(,| from|$)')))"""
+
+
+def _findings(m: Model) -> DataFrame:
+    s, edited = m.symbols, (F.col("file_id") % 5 == 0) & (F.col("symbol_id") % 2 == 1)
+    gone = edited & (F.col("symbol_id") % 3 == 0)
+    private = F.when(F.col("symbol_id") % 9 == 1, "private ").otherwise("")
+    told = s.where(edited).select(F.col("symbol_id").alias("change_id"), F.when(gone, "removed").otherwise("signature").alias("change"), "name", "kind", F.concat(private, "signature", F.lit(" "), "name").alias("signature"), "file_id", F.lit(None).cast("string").alias("renamed_to"))
+    around = s.where(edited).select("file_id", "name", F.concat(F.lit("Box"), (F.col("file_id") % 4).cast("string")).alias("container"))
+    refs = m.refs.withColumnRenamed("enclosing_symbol_id", "enclosing")
+    return findings.collect(told, s, refs, m.files, m.texts, s.where((F.col("file_id") % 5 == 0) & ~gone).select("file_id", "name"), around, s.where("file_id % 5 = 0").select("file_id"), m.files.where("file_id % 4 = 1").select("file_id"))
+
+
+FOUND = """SELECT CASE WHEN change = 'removed' THEN 'dangling' ELSE 'stale' END AS kind, CAST(CASE WHEN change = 'removed' THEN 0 ELSE 1 END AS INT) AS confidence, name AS symbol, path AS changed_file, ref_path AS path, min(line) AS line, arg_min(caller, (line, caller)) AS caller, count(*) AS refs_in_file,
+regexp_matches(lower(ref_path), '/tests?/|__tests__|^tests?/|\\.test\\.|\\.spec\\.|_test\\.|\\.tests/|(^|/)test_[^/]*$') OR (strlen(regexp_extract(ref_path, '([^/]+?)(\\.[^./]*)?$', 1)) > 4 AND regexp_matches(regexp_extract(ref_path, '([^/]+?)(\\.[^./]*)?$', 1), 'Tests?$')) AS in_test
+FROM tied GROUP BY change_id, change, name, path, ref_path"""
+
+
+@query("d6_findings", inner(CHANGED, FOUND, "files", "symbols", "refs", "texts"))
+def _(m: Model):
+    return _findings(m).drop("renamed_to")
+
+
+@query("o8_findings_in_order", inner(CHANGED, f"SELECT kind, symbol, path, line FROM ({FOUND}) ORDER BY confidence, in_test, symbol, path, line LIMIT 20", "files", "symbols", "refs", "texts"))
+def _(m: Model):
+    return findings.in_order(_findings(m)).select("kind", "symbol", "path", "line")
