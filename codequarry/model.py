@@ -36,6 +36,9 @@ FROM {lineitem} AS r JOIN (SELECT l_orderkey AS k, min(l_partkey) AS pk FROM {li
     "texts": """
 SELECT f.file_id, CASE WHEN f.file_id % 17 = 0 THEN NULL ELSE 'Box' || CAST(f.file_id % 4 AS STRING) || ' x' || chr(10) || coalesce(CASE f.lang WHEN 'java' THEN javas WHEN 'python' THEN 'from lib import ' || names ELSE 'import ' || names || ' from "./lib";' END, '') END AS text
 FROM ({files}) AS f LEFT JOIN (SELECT file_id, string_agg('import static lib.' || name || ';', chr(10)) AS javas, string_agg(name, ', ') AS names FROM (SELECT DISTINCT file_id, name FROM ({refs}) AS r WHERE line % 4 = 0) AS d GROUP BY file_id) AS i ON i.file_id = f.file_id""",
+    "copied": """
+SELECT file_id, 'app' || CAST(k AS STRING) || '/' || path AS path, CASE WHEN k = 1 AND file_id % 4 = 0 OR k = 2 AND file_id % 10 <> 0 THEN hash || CAST(k AS STRING) ELSE hash END AS hash, mtime + CASE k WHEN 1 THEN 200000 WHEN 2 THEN 300000 WHEN 3 THEN 400 ELSE 0 END AS mtime, k
+FROM ({files}) AS f, (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k) AS ks WHERE k <> 3 OR file_id % 3 = 0""",
     "commits": "SELECT o_orderkey AS hash, unix_seconds(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey % 86400 AS ct FROM {orders}",
     "commit_files": "SELECT l_orderkey AS hash, l_partkey AS file_id FROM {lineitem}",
     "versions": """
@@ -84,6 +87,7 @@ FROM {events}""",
 TABLES = ("part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "customer", "supplier")
 
 
+RELATIONS["copied"] = RELATIONS["copied"].replace("{files}", RELATIONS["files"])
 RELATIONS["texts"] = RELATIONS["texts"].replace("{files}", RELATIONS["files"]).replace("{refs}", RELATIONS["refs"])
 RELATIONS["findings"] = RELATIONS["findings"].replace("{versions}", RELATIONS["versions"])
 
@@ -115,6 +119,7 @@ class Model:
     symbols = cached_property(lambda self: self._relation("symbols"))
     refs = cached_property(lambda self: self._relation("refs"))
     texts = cached_property(lambda self: self._relation("texts"))
+    copied = cached_property(lambda self: self._relation("copied"))
     commits = cached_property(lambda self: self._relation("commits"))
     commit_files = cached_property(lambda self: self._relation("commit_files"))
     versions = cached_property(lambda self: self._relation("versions"))

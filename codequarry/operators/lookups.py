@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import paths
-from codequarry.operators import timeline
+from codequarry.operators import copies, timeline
 
 MAX_DEFS = 3
 
@@ -138,15 +138,10 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def wildcard_pairs(files: DataFrame) -> DataFrame:
-    """(dir_a, dir_b, n): folders whose files have equal paths but for one segment, and how many do."""
-    parts = F.split("path", "/")
-    at = files.select("path", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("pos", "segment"))
-    split = F.split("path", "/")
-    head = F.array_join(F.slice(split, F.lit(1), F.col("pos")), "/")
-    tail = F.array_join(F.slice(split, F.col("pos") + 2, F.size(split)), "/")
-    keyed = at.select(F.concat_ws("|", head, tail).alias("key"), F.concat_ws("/", F.when(head != "", head), "segment").alias("dir"))
-    a, b = keyed.select("key", F.col("dir").alias("dir_a")), keyed.select("key", F.col("dir").alias("dir_b"))
-    return a.join(b, "key").where("dir_a < dir_b").groupBy("dir_a", "dir_b").agg(F.count("*").alias("n"))
+    """(dir_a, dir_b, n): folders whose files have equal paths but for one segment, and how many do; such folders have one parent."""
+    below = copies.below_folders(files.select("path", F.lit(None).cast("string").alias("hash"), F.lit(None).cast("long").alias("mtime"))).select("parent", "place", "dir")
+    a, b = (below.select("parent", "place", F.col("dir").alias(f"dir_{x}")) for x in "ab")
+    return a.join(b, ["parent", "place"]).where("dir_a < dir_b").groupBy("dir_a", "dir_b").agg(F.count("*").alias("n"))
 
 
 def cochange(commit_files: DataFrame, least: int = 2, lines: tuple[int, int] = (2, 30)) -> DataFrame:

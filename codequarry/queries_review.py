@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text
 from codequarry.model import Model, duck
-from codequarry.operators import lookups, matching, ordered
+from codequarry.operators import copies, lookups, matching, ordered
 from codequarry.queries import inner, query
 
 MENTIONS = "mentions AS (SELECT DISTINCT array_to_string(string_split(path, '/')[-2:], '/') AS mention FROM files)"
@@ -161,9 +161,29 @@ def _(m: Model):
     return twins.join(named("a"), "dir_a").join(named("b"), "dir_b").select("dir_a", "dir_b", "n", "newest_a", "newest_b")
 
 
-@query("j16_wildcard_pairs", inner("s AS (SELECT string_split(path, '/') AS p, unnest(range(1, len(string_split(path, '/')))) AS i FROM files), k AS (SELECT array_to_string(p[:i - 1], '/') || '|' || array_to_string(p[i + 1:], '/') AS key, array_to_string(p[:i], '/') AS dir FROM s)", "SELECT a.dir AS dir_a, b.dir AS dir_b, count(*) AS n FROM k a JOIN k b ON a.key = b.key AND a.dir < b.dir GROUP BY ALL", "files"))
+#: Every file below each of its folders, in four copies of the tree of which one has other files and one too few.
+BELOW = """s AS (SELECT string_split(path, '/') AS p, hash, mtime, unnest(range(1, len(string_split(path, '/')))) AS i FROM copied), b AS (SELECT array_to_string(p[:i - 1], '/') AS parent, array_to_string(p[:i], '/') AS dir, array_to_string(p[i + 1:], '/') AS place, hash, mtime FROM s)"""
+COPIES = BELOW + """, z AS (SELECT dir, count(*) AS n, max(mtime) AS newest FROM b GROUP BY dir), e AS (SELECT x.dir AS dir_a, y.dir AS dir_b, count(*) AS same FROM b x JOIN b y ON x.parent = y.parent AND x.place = y.place AND x.hash = y.hash AND x.dir < y.dir GROUP BY ALL),
+copies AS (SELECT dir_a, dir_b, same, CASE WHEN x.newest + 86400 < y.newest THEN dir_a WHEN y.newest + 86400 < x.newest THEN dir_b END AS stale FROM e JOIN z x ON x.dir = dir_a JOIN z y ON y.dir = dir_b WHERE same >= 20 AND 2 * same >= least(x.n, y.n))"""
+
+
+@query("j16_wildcard_pairs", inner(BELOW, "SELECT x.dir AS dir_a, y.dir AS dir_b, count(*) AS n FROM b x JOIN b y ON x.parent = y.parent AND x.place = y.place AND x.dir < y.dir GROUP BY ALL", "copied"))
+def _(m: Model):
+    return lookups.wildcard_pairs(m.copied)
+
+
+@query("j16_folder_copies", inner(COPIES, "SELECT * FROM copies", "copied"))
+def _(m: Model):
+    return copies.folder_copies(m.copied)
+
+
+@query("r9_demoted_copies", inner(COPIES + """, c AS (SELECT file_id % 50 AS query_id, path, CAST(file_id % 97 + k AS DOUBLE) AS score FROM copied WHERE (file_id + k) % 3 <> 0), pr AS (SELECT stale, CASE WHEN stale = dir_a THEN dir_b ELSE dir_a END AS fresh, dir_a, dir_b FROM copies WHERE stale IS NOT NULL),
+o AS (SELECT c.*, pr.*, pr.fresh || substr(c.path, length(stale) + 1) AS twin FROM c JOIN pr ON starts_with(c.path, stale || '/')), enough AS (SELECT o.query_id, o.dir_a, o.dir_b FROM o JOIN c ON c.query_id = o.query_id AND c.path = o.twin GROUP BY ALL HAVING count(*) >= 2),
+m AS (SELECT o.query_id, o.path, arg_min({'twin': twin, 'same': f.hash = g.hash}, (o.dir_a, o.dir_b)) AS t FROM o JOIN enough USING (query_id, dir_a, dir_b) JOIN copied f ON f.path = o.path JOIN copied g ON g.path = twin GROUP BY ALL)""",
+    "SELECT query_id, CASE WHEN t.same THEN t.twin ELSE path END AS path, round(max(CASE WHEN NOT t.same THEN score * 0.3 ELSE score END), 6) AS score FROM c LEFT JOIN m USING (query_id, path) GROUP BY ALL", "copied"))
 def _(m: Model):
-    return lookups.wildcard_pairs(m.files)
+    scores = m.copied.where("(file_id + k) % 3 <> 0").select((F.col("file_id") % 50).alias("query_id"), "path", (F.col("file_id") % 97 + F.col("k")).cast("double").alias("score"))
+    return copies.demote_copies(scores, m.copied, copies.folder_copies(m.copied)).withColumn("score", F.round("score", 6))
 
 
 @query("f22_risks", inner("t AS (SELECT file_id, file_id % 13 AS callers, file_id % 29 AS callers2, file_id % 3 AS modules, file_id % 5 AS cochanged, file_id % 2 = 0 AS untested, file_id % 7 = 0 AS framework FROM files)", """SELECT file_id, CASE WHEN callers >= 10 OR modules >= 2 OR callers + callers2 >= 25 THEN 'high' WHEN callers >= 3 OR cochanged >= 3 OR (callers > 0 AND untested) OR framework THEN 'medium' ELSE 'low' END AS level,
