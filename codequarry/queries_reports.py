@@ -67,11 +67,12 @@ def _(m: Model):
     return m.agent_events.groupBy("session").agg(F.round(F.sum(spent), 6).alias("dollars"))
 
 
-@query("p19_diff_lines", """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 7 WHEN 0 THEN 'old' WHEN 1 THEN 'new' WHEN 2 THEN 'hunk' WHEN 3 THEN 'deleted' WHEN 4 THEN 'added' WHEN 5 THEN 'context' END AS kind FROM lineitem""")
+@query("p19_diff_lines", """WITH l AS (SELECT l_orderkey, l_linenumber, (['--- a/', '+++ b/', '@@ -', '-', '+', ' ', 'diff --git a/', '--', '---', '+++', '@@', ''])[l_partkey % 12 + 1] || l_suppkey AS line FROM lineitem) SELECT l_orderkey, l_linenumber, line,
+CASE WHEN line LIKE '--- %' THEN 'old' WHEN line LIKE '+++ %' THEN 'new' WHEN line LIKE '@@ -%' THEN 'hunk' WHEN line[1] = '-' THEN 'deleted' WHEN line[1] = '+' THEN 'added' WHEN line[1] = ' ' THEN 'context' END AS kind FROM l""")
 def _(m: Model):
-    starts = F.array(*(F.lit(s) for s in ("--- a/", "+++ b/", "@@ -", "-", "+", " ", "diff --git a/")))
-    line = F.concat(F.element_at(starts, (F.col("l_linenumber") % 7 + 1).cast("int")), F.col("l_partkey").cast("string"))
-    return m.table("lineitem").select("l_orderkey", "l_linenumber", text.diff_line(line).alias("kind"))
+    starts = F.array(*(F.lit(s) for s in ("--- a/", "+++ b/", "@@ -", "-", "+", " ", "diff --git a/", "--", "---", "+++", "@@", "")))
+    line = F.concat(F.element_at(starts, (F.col("l_partkey") % 12 + 1).cast("int")), F.col("l_suppkey").cast("string"))
+    return m.table("lineitem").select("l_orderkey", "l_linenumber", line.alias("line"), text.diff_line(line).alias("kind"))
 
 
 @query("o4_changed_with", inner(COCHANGE, """SELECT file_a, path, cnt, r FROM (SELECT file_a, path, cnt, row_number() OVER (PARTITION BY file_a ORDER BY cnt DESC, path) AS r

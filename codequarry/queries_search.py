@@ -134,10 +134,16 @@ query("f44_plurals", "SELECT o_orderkey, CASE WHEN n = 1 THEN '1 ' || w WHEN end
 query("p9_inside_dir", duck("SELECT path, starts_with(path, 'src/core/') AS inside, strpos(path, '/') = 0 AS at_root FROM files", "files"))(
     lambda m: m.files.select("path", paths.inside_dir(F.col("path"), "src/core").alias("inside"), paths.inside_dir(F.col("path"), "").alias("at_root"))
 )
-query("f41_working_dirs", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'src/d' || user_id END AS dir FROM events")(
-    lambda m: m.table("events").select("event_id", text.working_dir(F.expr("CASE WHEN event_id % 3 = 0 THEN 'cd \"src/d' || user_id || '\" && npm test' ELSE 'npm test' END")).alias("dir"))
+#: Commands that change to a folder, quoted or not, before something else, and others.
+COMMAND = """(CASE event_id % 7 WHEN 0 THEN 'cd "src/d' || user_id || '" && npm test' WHEN 1 THEN '  cd web/' || user_id || ';ls' WHEN 2 THEN 'cd ' || chr(39) || 'a b' || user_id || chr(39) || '  && pytest' WHEN 3 THEN 'cdx && ls' WHEN 4 THEN 'npm test && cd x' WHEN 5 THEN 'cd d' || user_id || '&&make; cd e' ELSE 'cd only' || user_id END)"""
+query("f41_working_dirs", f"""SELECT event_id, nullif(regexp_extract({COMMAND}, '^[ ]*cd[ ]+["'']?([^"''&;|]+?)["'']?[ ]*(?:&&|;)', 1), '') AS dir FROM events""")(
+    lambda m: m.table("events").select("event_id", text.working_dir(F.expr(COMMAND)).alias("dir"))
 )
-SUBJECT = "CASE o_orderkey % 3 WHEN 0 THEN 'feat(api)!: load ' WHEN 1 THEN 'fix: mend #12 and ' ELSE 'Add ' END"
-query("f34_subjects", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'load ' WHEN 1 THEN 'mend  and ' ELSE 'Add ' END || o_custkey AS subject FROM orders")(
-    lambda m: m.table("orders").select("o_orderkey", text.clean_subject(F.expr(f"{SUBJECT} || o_custkey || ' (#' || o_orderkey || ').'")).alias("subject"))
+SUBJECT = "CASE doc_id % 5 WHEN 0 THEN 'feat(api)!: load ' WHEN 1 THEN 'fix: mend #12 and ' WHEN 2 THEN 'Add (#7) ' WHEN 3 THEN 'see #x: ' ELSE '' END || coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' (#' || doc_id || ').' WHEN 1 THEN '...' ELSE '' END"
+query("f34_subjects", rf"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({SUBJECT}, '^\w+(?:\([^)]*\))?!?:\s*', ''), '\s*\(#\d+\)', '', 'g'), '#\d+', '', 'g'), '[\s.]+$', '')) AS subject FROM documents")(
+    lambda m: m.table("documents").select("doc_id", text.clean_subject(F.expr(SUBJECT)).alias("subject"))
+)
+PLACED = "regexp_replace(path, '/[^/]*$', '') || CASE file_id % 5 WHEN 0 THEN '/index.ts' WHEN 1 THEN '/mod.rs' WHEN 2 THEN '/__init__.py' WHEN 3 THEN '/types.d.ts' ELSE '/n' || CAST(file_id AS STRING) || '.py' END"
+query("f14_module_names", duck(f"SELECT p AS path, CASE WHEN stem IN ('index', 'mod', '__init__') THEN string_split(p, '/')[-2] ELSE stem END AS module FROM (SELECT p, regexp_replace(regexp_replace(string_split(p, '/')[-1], '[.][^.]*$', ''), '[.]d$', '') AS stem FROM (SELECT {PLACED} AS p FROM files))", "files"))(
+    lambda m: m.files.select(F.expr(PLACED).alias("path")).select("path", paths.module_name(F.col("path")).alias("module"))
 )
