@@ -42,7 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The stages over documents; a stage's input is removed as soon as the next stage's table is whole."""
+    docs, scratch = common.table(spark, sf_dir, "documents"), common.Scratch(spark)
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        table = name.replace(" ", "-")
+        docs = scratch.write(table, stage(spark, docs, sf_dir))
+        scratch.keep_only(table)
     return docs
