@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codequarry.model import Model
 from codequarry.operators import verification
 from codequarry.queries import inner, query
+from codequarry.sources import ignores
 from codequarry.sources.trees import NOT_CALLED
 
 V = """v AS MATERIALIZED (SELECT file_id, hash, ct, md5(text) AS blob, lead(ct) OVER w AS next_ct, lead(hash) OVER w AS next_hash FROM versions WINDOW w AS (PARTITION BY file_id ORDER BY ct, hash))"""
@@ -72,3 +73,17 @@ def _(m: Model):
     states = verification.landings(m.findings.select(F.col("finding_id").alias("key"), F.col("changed_file").alias("file_id"), "last_edit"), versions)
     wanted = m.findings.select(F.col("finding_id").alias("key"), F.col("ref_file").alias("file_id")).join(states.select("key", "ct", "hash"), "key")
     return verification.blobs_at(wanted, versions, contents)
+
+
+IGNORE = {"": "# generated\n*.c\n!src/**/*.c\n/docs/\nsub[1-3]/\n!sub2/\n**/web/p?ges/green*\n", "src/api": "red_*\n!red_*.py\n", "lib": "/sub*\n"}
+#: The same rules as expressions: folder, place, negated, folders only, expression.
+RULES = r"""rules(folder, no, neg, only_dirs, re) AS (VALUES ('', 1, false, false, '^(.*/)?[^/]*[.]c$'), ('', 2, true, false, '^src/(.*/)?[^/]*[.]c$'), ('', 3, false, true, '^docs$'), ('', 4, false, true, '^(.*/)?sub[1-3]$'), ('', 5, true, true, '^(.*/)?sub2$'), ('', 6, false, false, '^(.*/)?web/p[^/]ges/green[^/]*$'),
+  ('src/api', 0, false, false, '^(.*/)?red_[^/]*$'), ('src/api', 1, true, false, '^(.*/)?red_[^/]*[.]py$'), ('lib', 0, false, false, '^sub[^/]*$')),
+s AS (SELECT path, string_split(path, '/') AS p, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM files), nodes AS (SELECT path, array_to_string(p[:i], '/') AS node, i < len(p) AS dir FROM s),
+d AS (SELECT DISTINCT node, dir FROM nodes), hits AS (SELECT node, dir, neg, folder, no FROM d JOIN rules ON (folder = '' OR starts_with(node, folder || '/')) AND (dir OR NOT only_dirs) AND regexp_matches(CASE WHEN folder = '' THEN node ELSE substr(node, length(folder) + 2) END, re)),
+shut AS (SELECT node, dir FROM hits GROUP BY node, dir HAVING NOT arg_max(neg, (length(folder), no)))"""
+
+
+@query("s1_ignored", inner(RULES, "SELECT DISTINCT path FROM nodes JOIN shut USING (node, dir)", "files"))
+def _(m: Model):
+    return ignores.ignored(m.files, ignores.rules(m.spark.createDataFrame(list(IGNORE.items()), "folder string, text string")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import paths
 from codequarry.operators import lookups
+from codequarry.sources import ignores
 
 #: The largest file, the bytes searched for a NUL, and when lines are too long on average.
 MOST_BYTES, HEAD, LONG_TEXT, LONG_LINES = 1 << 20, 8192, 20_000, 500
@@ -30,14 +31,20 @@ def is_unindexable(text: Column) -> Column:
     return (F.instr(F.substring(text, 1, HEAD), "\0") > 0) | ((F.octet_length(text) > LONG_TEXT) & (F.floor(F.octet_length(text) / (newlines + 1)) > LONG_LINES))
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, lang, size, mtime, hash, text) of the files under root that are indexed; hidden and skipped folders are not."""
+def scan(spark: SparkSession, root: str, ignore_files: DataFrame | None = None) -> DataFrame:
+    """(path, lang, size, mtime, hash, text) of the files under root that are indexed; hidden and skipped folders are not.
+
+    Ignore files (folder, text), in the order of their lines, shut out what they tell. Spark's readers pass over hidden files,
+    so their texts are given.
+    """
     root = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.regexp_replace("path", rf"^(?:[a-z]+:/+)?/*\Q{root.lstrip('/')}\E/", "")
     kept = found.where(F.col("length") <= MOST_BYTES).select(relative.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), "content")
     told = kept.withColumn("lang", paths.language(F.col("path"))).where(F.col("lang").isNotNull() & ~paths.outside_index(F.col("path")))
     told = told.withColumn("text", F.decode("content", "UTF-8")).where(~is_unindexable(F.col("text")))
+    if ignore_files is not None:
+        told = told.join(ignores.ignored(told.select("path"), ignores.rules(ignore_files)), "path", "left_anti")
     return told.select("path", "lang", "size", "mtime", F.sha2("content", 256).alias("hash"), "text")
 
 
