@@ -135,9 +135,9 @@ query("p9_inside_dir", duck("SELECT path, starts_with(path, 'src/core/') AS insi
     lambda m: m.files.select("path", paths.inside_dir(F.col("path"), "src/core").alias("inside"), paths.inside_dir(F.col("path"), "").alias("at_root"))
 )
 #: Commands that change to a folder, quoted or not, before something else, and others.
-COMMAND = """(CASE event_id % 7 WHEN 0 THEN 'cd "src/d' || user_id || '" && npm test' WHEN 1 THEN '  cd web/' || user_id || ';ls' WHEN 2 THEN 'cd ' || chr(39) || 'a b' || user_id || chr(39) || '  && pytest' WHEN 3 THEN 'cdx && ls' WHEN 4 THEN 'npm test && cd x' WHEN 5 THEN 'cd d' || user_id || '&&make; cd e' ELSE 'cd only' || user_id END)"""
-query("f41_working_dirs", f"""SELECT event_id, nullif(regexp_extract({COMMAND}, '^[ ]*cd[ ]+["'']?([^"''&;|]+?)["'']?[ ]*(?:&&|;)', 1), '') AS dir FROM events""")(
-    lambda m: m.table("events").select("event_id", text.working_dir(F.expr(COMMAND)).alias("dir"))
+CHANGING = """(CASE event_id % 7 WHEN 0 THEN 'cd "src/d' || user_id || '" && npm test' WHEN 1 THEN '  cd web/' || user_id || ';ls' WHEN 2 THEN 'cd ' || chr(39) || 'a b' || user_id || chr(39) || '  && pytest' WHEN 3 THEN 'cdx && ls' WHEN 4 THEN 'npm test && cd x' WHEN 5 THEN 'cd d' || user_id || '&&make; cd e' ELSE 'cd only' || user_id END)"""
+query("f41_working_dirs", f"""SELECT event_id, nullif(regexp_extract({CHANGING}, '^[ ]*cd[ ]+["'']?([^"''&;|]+?)["'']?[ ]*(?:&&|;)', 1), '') AS dir FROM events""")(
+    lambda m: m.table("events").select("event_id", text.working_dir(F.expr(CHANGING)).alias("dir"))
 )
 SUBJECT = "CASE doc_id % 5 WHEN 0 THEN 'feat(api)!: load ' WHEN 1 THEN 'fix: mend #12 and ' WHEN 2 THEN 'Add (#7) ' WHEN 3 THEN 'see #x: ' ELSE '' END || coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' (#' || doc_id || ').' WHEN 1 THEN '...' ELSE '' END"
 query("f34_subjects", rf"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({SUBJECT}, '^\w+(?:\([^)]*\))?!?:\s*', ''), '\s*\(#\d+\)', '', 'g'), '#\d+', '', 'g'), '[\s.]+$', '')) AS subject FROM documents")(
