@@ -37,7 +37,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
 
     n_context leading turns of a window repeat earlier ones. loss has (start, length) in code points of formatted.
     Null roles and texts are empty; rows with a null conv_id form one conversation; turns that tie are ordered by role and
-    text, and repeated rows are turns of their own. Only the columns conv_id, turn, role and text are read.
+    text, and repeated rows are turns of their own. An empty table has no windows. A turn longer than the budget, however long, is a
+    window with what it repeats and isn't cut. Only the columns conv_id, turn, role and text are read.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -251,6 +251,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most CAPACITY tokens.
 
     A null or empty text has its end id alone; repeated rows are packed each; a null id stays null. An empty table has no rows.
+    A very long text is a step of its own and is cut to as many pieces as it takes. Columns but doc_id and text aren't read.
     """
     path = path or public_tokenizers.path(TOKENIZER)
 

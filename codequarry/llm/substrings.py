@@ -304,7 +304,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and the kept bytes' ranges.
 
-    A null text is empty. Rows that share an id don't count as smaller than each other; a null id is larger than all.
+    A null text is empty. Rows that share an id don't count as smaller than each other; a null id is larger than all. An empty
+    table has no rows. A very long text is cut into overlapping pieces for the search, so no match is lost, and is held whole only while
+    what it keeps is put together. Columns but doc_id and text aren't read.
     """
     by_crc = -1 - F.col("crc").cast("int").bitwiseAND(0xFFFF).cast("long")
     spans = repeated(docs, length).withColumn("block", F.when(F.col("doc_id") == NO_ID, by_crc).otherwise(F.shiftright("doc_id", BLOCK_BITS)))

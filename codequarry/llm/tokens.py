@@ -108,8 +108,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, shard, ordinal, start, n_tokens, closed): write docs as flat files in the shared folder and count their tokens.
 
     docs is read twice and must have its rows in the same partitions and order both times, as a table of files does. Null and
-    empty texts have no tokens, repeated rows and null ids have a row each, an empty table has none. Columns but doc_id and
-    text aren't read.
+    empty texts have no tokens, repeated rows and null ids have a row each, an empty table has none. A very long text is
+    encoded whole and its tokens lie across as many blocks as they take. Columns but doc_id and text aren't read.
     """
     path = f"{shared_dir(docs.sparkSession)}/flat-{uuid.uuid4().hex}"
     write_flat(docs, path)

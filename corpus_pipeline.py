@@ -1,4 +1,8 @@
-"""A corpus from documents to packed sequences; each stage is written as Parquet and read again by the next."""
+"""A corpus from documents to packed sequences; each stage is written as Parquet and read again by the next.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and columns beyond those of documents: those
+beyond are left out, null texts count as empty and stay null until they are packed as their end id alone.
+"""
 
 from __future__ import annotations
 
