@@ -41,7 +41,7 @@ last AS (SELECT query_id, arg_max(taken, k) AS taken FROM fold GROUP BY query_id
 def _seeds(m: Model):
     asked = _asked(m)
     also = asked.select("query_id").distinct().select("query_id", F.explode(F.array(F.lit("function"), F.lit("api"))).alias("term"), F.lit(False).alias("prefix"))
-    found, wider = (retrieval.top_k(s, 40, "symbol_id").drop("rank") for s in _found(m, asked, also))
+    found, wider = _found(m, asked, also)
     fused = retrieval.fuse_groups(found, wider).withColumn("score", F.round("score", 6))
     questions = m.table("customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), F.expr(QUESTION).alias("question"))
     words = questions.select("query_id", F.explode(F.regexp_extract_all("question", F.lit(r"[A-Za-z_]\w*"), F.lit(0))).alias("word"))
