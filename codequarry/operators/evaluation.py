@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,10 +58,17 @@ def chance(n: Column, gold: Column, drawn: Column) -> Column:
     return F.when(drawn > 0, 1 - misses).otherwise(0.0)
 
 
+def log_fact(n: Column) -> Column:
+    """The logarithm of n!: Stirling's series from 16 on, a sum below, so it costs the same for every n."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    known = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(16)))
+    return F.when(n < 16, F.element_at(known, F.least(F.greatest(n, F.lit(0)), F.lit(15)).cast("int") + 1)).otherwise(series)
+
+
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """One-sided probability of a or more in a table of a, b, c, d with its margins."""
+    """One-sided probability of a or more in a table of a, b, c, d with its margins; the work is that of its terms."""
     row, col, n = a + b, a + c, a + b + c + d
-    log_fact = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
     log_choose = lambda x, y: log_fact(x) - log_fact(y) - log_fact(x - y)
     whole = log_choose(n, row)
     return F.aggregate(F.sequence(a, F.least(row, col)), F.lit(0.0), lambda s, k: s + F.exp(log_choose(col, k) + log_choose(n - col, row - k) - whole))

@@ -1,4 +1,6 @@
+import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -44,3 +46,15 @@ def test_nets_and_subgroups_of_empty_tables(spark):
     assert evaluation.subgroups(none, "v", {"all": F.lit(True)}).collect() == []
     one = spark.createDataFrame([(1, 1, 0.0), (1, 1, 0.0), (1, 2, 0.0)], none.schema)
     assert [tuple(r) for r in evaluation.nets(one, none, "k", "i").collect()] == [(1, 0, 2, 0)]
+
+
+def test_fisher_of_large_tables_costs_its_terms(spark):
+    """Tables of up to a million rows against logarithms of factorials from the library; the factorials aren't summed for each term."""
+    tables = [(3, 1, 1, 3), (0, 0, 0, 0), (0, 5, 5, 0), (17, 15, 16, 18), (12, 4, 0, 2), (2600, 4900, 240_000, 460_000)]
+    began = time.time()
+    found = [r["p"] for r in spark.createDataFrame([(i, *t) for i, t in enumerate(tables)], "i int, a long, b long, c long, d long").select("i", evaluation.fisher(*map(F.col, "abcd")).alias("p")).orderBy("i").collect()]
+    assert time.time() - began < 60
+    choose = lambda x, y: math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1)
+    for p, (a, b, c, d) in zip(found, tables, strict=True):
+        want = sum(math.exp(choose(a + c, k) + choose(b + d, a + b - k) - choose(a + b + c + d, a + b)) for k in range(a, min(a + b, a + c) + 1))
+        assert p == pytest.approx(want, rel=1e-6)
