@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.operators import timeline
 
 GAP = 3 * 3600
+#: Sessions of a block, and files that blocks are multiplied over at once.
+SESSION_BLOCK, FILE_BLOCK = 2048, 1024
 
 
 def periods(events: DataFrame, gap: int = GAP) -> DataFrame:
@@ -72,8 +78,48 @@ def usage_cost(uncached: Column, cached: Column, written: Column, output: Column
     return (none(uncached) + none(cached) * 0.1 + none(written) * 1.25) * price_in / 1e6 + none(output) * price_out / 1e6
 
 
-def overlaps(events: DataFrame) -> DataFrame:
-    """(session, other, files): files that two sessions both edited; each file's sessions meet once."""
+def overlaps(events: DataFrame, block: int = SESSION_BLOCK) -> DataFrame:
+    """(session, other, files): files that two sessions both edited.
+
+    Sessions are dealt into blocks of about `block`, and each two blocks meet in one task, which counts with products of 0 and 1
+    over FILE_BLOCK files at a time. So a session's files travel once a block, and no row a pair and file is shuffled.
+    """
     one = events.where("op = 'edit'").select("session", "file_id").distinct()
-    two = one.select(F.col("session").alias("other"), "file_id")
-    return one.join(two, "file_id").where("session < other").groupBy("session", "other").agg(F.count("*").alias("files"))
+    blocks = max(1, -(-one.select("session").distinct().count() // block))
+    mine = F.pmod(F.xxhash64("session"), F.lit(blocks))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda b: F.struct(F.least(b, mine).alias("a"), F.greatest(b, mine).alias("b")))
+    dealt = one.select("session", "file_id", mine.alias("mine"), F.explode(met).alias("pair")).select("session", "file_id", "mine", "pair.a", "pair.b")
+    kind = dict(one.dtypes)["session"]
+    tasks = max(one.sparkSession.sparkContext.defaultParallelism, blocks * (blocks + 1) // 2)
+    return dealt.where("session is not null and file_id is not null").repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(_common_files, f"session {kind}, other {kind}, files long")
+
+
+def _common_files(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks' sessions that share files, row by row of blocks."""
+    (a, b), table = (k.as_py() for k in key), pa.Table.from_batches(batches)
+    session, mine = table["session"].to_numpy(), table["mine"].to_numpy()
+    names, who = np.unique(session, return_inverse=True)
+    files, what = np.unique(table["file_id"].to_numpy(), return_inverse=True)
+    home = np.zeros(len(names), np.int64)
+    home[who] = mine
+    left, right = np.flatnonzero(home == a), np.flatnonzero(home == b)
+    row, col = np.full(len(names), -1), np.full(len(names), -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    total = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(what, kind="stable")
+    who, what = who[order], what[order]
+    for at in range(0, len(files), FILE_BLOCK):
+        part = slice(*np.searchsorted(what, [at, at + FILE_BLOCK]))
+        w, f = who[part], what[part] - at
+        x, y = np.zeros((len(left), FILE_BLOCK), np.float32), np.zeros((len(right), FILE_BLOCK), np.float32)
+        for grid, place in ((x, row), (y, col)):
+            held = place[w] >= 0
+            grid[place[w][held], f[held]] = 1
+        total += x @ y.T
+    for at in range(0, len(left), 256):
+        i, j = np.nonzero(total[at : at + 256])
+        one, two = left[i + at], right[j]
+        # within a block a pair stands twice; between blocks once, in either order
+        keep = one < two if a == b else np.ones(len(one), bool)
+        low, high = np.minimum(one, two)[keep], np.maximum(one, two)[keep]
+        yield pa.record_batch({"session": pa.array(names[low]), "other": pa.array(names[high]), "files": pa.array(total[i + at, j][keep].astype(np.int64))})
