@@ -9,7 +9,7 @@ from codequarry.functions import signatures, text
 from codequarry.model import Model
 from codequarry.operators import changes, findings
 from codequarry.queries import inner, query
-from codequarry.shared import written
+from codequarry.shared import large, written
 
 #: The rules on the texts themselves, which have no comments, strings or nested brackets but one level of generics.
 PARAMS = r"""h AS MATERIALIZED (SELECT *, regexp_extract(text, '[(](.*)[)]', 1) AS inside, CASE WHEN lang = 'python' THEN split_part(text, ':' || chr(10), 1) ELSE split_part(text, ' {', 1) END AS head FROM heads),
@@ -39,14 +39,14 @@ def _sides(m: Model) -> list[DataFrame]:
 
 @query("d3_compatible", inner(PARAMS, "SELECT id, lang, works FROM works", "heads"))
 def _(m: Model):
-    old, new = (signatures.with_shapes(x) for x in _sides(m))
-    both = old.select("id", "lang", F.col("call").alias("a")).join(new.select("id", F.col("call").alias("b")), "id")
+    old, new = (signatures.with_shapes(x.repartition("id")) for x in _sides(m))
+    both = large(old.select("id", "lang", F.col("call").alias("a"))).join(new.select("id", F.col("call").alias("b")), "id")
     return both.select("id", "lang", signatures.compatible(F.col("lang"), F.col("a"), F.col("b")).alias("works"))
 
 
 @query("d2_renamed", inner(f"{PARAMS}, {RENAMES}", "SELECT old_id, new_id FROM renamed", "heads"))
 def _(m: Model):
-    shaped = lambda x, name: written(signatures.with_shapes(x).where("id % 5 = 0"), name)
+    shaped = lambda x, name: written(signatures.with_shapes(x.where("id % 5 = 0").repartition("file_id")), name)
     old, new = _sides(m)
     return changes.renamed(shaped(old, "gone"), shaped(new, "added"))
 
