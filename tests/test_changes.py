@@ -7,7 +7,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from codequarry.functions import signatures
 from codequarry.operators import changes
+from codequarry.shared import written
 
 SCHEMA = "file_id int, symbol_id int, name string, kind string, lang string, text string, start_byte int, end_byte int"
 
@@ -73,3 +75,26 @@ def test_similarity_and_its_join(spark):
     assert {(r["old_id"], r["new_id"]): round(r["score"], 9) for r in found} == {k: round(v, 9) for k, v in want.items()} and len(want) > 20
     pairs = spark.createDataFrame([("", ""), ("a", "b"), ("aaa", "aa"), ("abab", "baba")], "a string, b string")
     assert [r[0] for r in pairs.select(changes.similarity(changes.bigrams(F.col("a")), changes.bigrams(F.col("b")))).collect()] == [dice("", ""), dice("a", "b"), dice("aaa", "aa"), dice("abab", "baba")]
+
+
+def test_sides_of_a_change_are_not_broadcast(spark):
+    """Small files may hold large rows: no join of removed with added symbols sends a side through the driver."""
+    row = "file_id int, symbol_id int, name string, kind string, lang string, text string"
+    of = lambda first, name: written(signatures.with_shapes(spark.createDataFrame([(i % 3, first + i, f"{name}{i}", "function", "python", f"def {name}{i}(a, b, c{i}):\n    return {i}\n") for i in range(30)], row)), name)
+    found = changes.renamed(of(0, "load_it"), of(100, "made_it"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, found.collect())) == [(i, 100 + i) for i in range(30)]
+
+
+def test_shapes_are_scanned_in_batches(spark):
+    """No fold over tokens is interpreted row by row."""
+    rows = spark.createDataFrame([(1, "java", "method", "f", "int f(int a) { }")], "id int, lang string, kind string, name string, text string")
+    told = signatures.with_shapes(rows).select("header", "body", F.col("call.head").alias("head"))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+    assert tuple(told.first()) == ("int (int a)", "{}", "int")
+
+
+def test_bigrams_count_repeats(spark):
+    assert spark.createDataFrame([("ababa",), ("a",), ("",)], "t string").select(changes.bigrams(F.col("t"))).collect() == [(["ab1", "ab2", "ba1", "ba2"],), ([],), ([],)]
