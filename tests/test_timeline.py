@@ -1,6 +1,7 @@
 """Nearest events and sums in time against plain searches, and the states of a small history."""
 
 import random
+import re
 
 import pytest
 
@@ -41,6 +42,29 @@ def test_nearest_events(placed, seconds):
     assert rows(timeline.last_until(p, e, seconds), *columns) == plain(points, events, until, max)
 
 
+@pytest.mark.parametrize("crowd", [0, 70])
+@pytest.mark.parametrize("seconds", [5, 20, 1000])
+def test_crowded_ids_are_cut_into_stretches(placed, seconds, crowd, monkeypatch):
+    monkeypatch.setattr(timeline, "CROWD", crowd)
+    test_nearest_events(placed, seconds)
+
+
+def test_points_keep_their_columns_and_a_null_id_meets_nothing(spark):
+    points = spark.createDataFrame([(1, "a", 5, None, "x"), (2, None, 5, None, "y"), (3, "a", 8, None, "z")], POINT + ", more string")
+    events = spark.createDataFrame([("a", 6, 1, "v"), (None, 6, 2, "w")], EVENT)
+    assert rows(timeline.nearest_within(points, events, 9).selectExpr("key", "more", "found.value"), "key", "more", "value") == [(1, "x", "v"), (3, "z", None)]
+    assert rows(timeline.last_within(points, events, 9), "key", "value") == [(1, "v")]
+    assert rows(timeline.last_until(points, events), "key", "value") == [(3, "v")]
+
+
+def test_landings_bring_their_columns_without_a_join_by_key(spark):
+    versions = spark.createDataFrame([("a", 100, 1, "x")], "file_id string, ct long, hash long, blob string")
+    edits = spark.createDataFrame([(1, "a", 50, "r"), (2, None, 50, "s")], "key long, file_id string, last_edit long, ref_file string")
+    found = verification.landings(edits, versions, verification.WINDOW, "ref_file")
+    assert rows(found, "key", "ref_file", "hash", "committed") == [(1, "r", 1, True), (2, "s", None, False)]
+    assert not re.search(r"Join \w+, \(key#", found._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_sums(placed, spark):
     points, events, p, _ = placed
     changes = [(i, at, tie, tie % 3 - 1, 1) for i, at, tie, _ in events]
