@@ -101,3 +101,14 @@ def test_markdown_round_trip(spark):
     shown = outputs.to_markdown(items)
     assert shown.where("query_id = 1").first()["markdown"].startswith("## b.py\n- h:2\nx\n- g:9\n")
     assert {tuple(r) for r in outputs.from_markdown(shown).collect()} == {(q, p, n, s) for q, _, p, s, n, _ in rows}
+
+
+def test_definitions_are_read_where_their_file_lies(spark):
+    """No line of a file is shuffled; ends, methods, closing brackets and an odd byte are as a plain reading tells."""
+    texts = [("p", "python", "class A:\r\n  def b(self):\n    pass\n\n  x = 1\ndef c():\n    return 1\n\n"), ("t", "typescript", "function f() {\n  g();\n}\nclass B\n"), ("c", "c", "struct s\r\rint run(int a)\n{\n}\n"), ("n", None, "def x():\n"), ("e", "python", ""), ("z", "python", None)]
+    files = spark.createDataFrame(texts, "file_id string, lang string, text string")
+    found = trees.definitions(files)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.select("file_id", "name", "kind", "start_line", "end_line").collect()) == [
+        ("c", "run", "method", 1, 1), ("p", "A", "class", 1, 5), ("p", "b", "method", 2, 4), ("p", "c", "function", 6, 7), ("t", "B", "class", 4, 4), ("t", "f", "function", 1, 3),
+    ]
