@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.shared import Scratch
+from codequarry.shared import Scratch, large
 
+#: Rows that a task of folder_copies takes.
+ROWS_A_TASK = 1 << 19
+#: Pairs of folders that may be broadcast to count their equal files; more are joined by a shuffle.
+BROADCAST_PAIRS = 100_000
 #: Equal files at least, and how many seconds later the newest file of the fresh folder is; a stale file's score.
 LEAST_SAME, STALE_SECONDS, DEMOTE = 20, 86400, 0.3
 
@@ -26,22 +30,32 @@ def below_folders(files: DataFrame) -> DataFrame:
 def folder_copies(files: DataFrame, least_same: int = LEAST_SAME, seconds: int = STALE_SECONDS) -> DataFrame:
     """(dir_a, dir_b, same, stale): siblings that share least_same files or more and half of the smaller one's; stale is the older one, null if times don't tell.
 
-    Partners share one of a folder's first n - least_same + 1 files, in the order of how few siblings have them. A table in the shared folder.
+    Partners share one of a folder's first n - least_same + 1 files, in the order of how few siblings have them; what no sibling has comes
+    first and proposes nothing. A table in the shared folder.
     """
-    scratch = Scratch(files.sparkSession)
-    below = scratch.write("below", below_folders(files))
+    spark = files.sparkSession
+    scratch = Scratch(spark)
+    tasks = lambda rows: max(spark.sparkContext.defaultParallelism, rows // ROWS_A_TASK + 1)
+    # dealt by their number, as few files of a table may hold all paths, and each stands below several folders
+    dealt = files.select("path", "hash", "mtime").repartition(tasks(files.count()), "path")
+    below = scratch.write("below", below_folders(dealt))
     sizes = scratch.write("sizes", below.groupBy("dir").agg(F.count("*").alias("n"), F.max("mtime").alias("newest")).where(F.col("n") >= least_same))
-    times = below.groupBy("parent", "place", "hash").agg(F.count("*").alias("times")).where("times > 1")
-    shared = scratch.write("shared", below.join(times, ["parent", "place", "hash"]).join(sizes, "dir").select("parent", "dir", "place", "hash", "times", "n"))
+    alike = Window.partitionBy("parent", "place", "hash")
+    met = below.repartition(tasks(below.count()), "parent", "place", "hash").where("hash is not null").withColumn("times", F.count("*").over(alike)).where("times > 1")
+    shared = scratch.write("shared", met.join(sizes, "dir").select("parent", "dir", "place", "hash", "times", "n"))
     scratch.drop("below")
-    # what no sibling has comes first in the order and proposes nothing, so only its number is needed
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("dir"))
-    place = F.row_number().over(Window.partitionBy("dir").orderBy("times", "place"))
-    first = shared.withColumn("alone", alone).withColumn("nth", place).where(F.col("nth") + F.col("alone") <= F.col("n") - least_same + 1)
+    # a folder's files propose up to the one that least_same - 1 come behind; that one is found without all its files in one task
+    at = F.struct("times", "place")
+    nth = F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("at")))
+    ends = shared.select("dir", at.alias("at")).withColumn("nth", nth).where(F.col("nth") == least_same).select("dir", F.col("at").alias("end"))
+    first = shared.join(ends, "dir").where(at <= F.col("end"))
     side = lambda x: first.select("parent", "place", "hash", F.col("dir").alias(f"dir_{x}"))
-    pairs = side("a").join(side("b"), ["parent", "place", "hash"]).where("dir_a < dir_b").select("dir_a", "dir_b").distinct()
+    pairs = large(side("a")).join(large(side("b")), ["parent", "place", "hash"]).where("dir_a < dir_b").select("dir_a", "dir_b").distinct()
+    pairs = scratch.write("pairs", pairs)
+    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else large(pairs)
     held = lambda x: shared.select(F.col("dir").alias(f"dir_{x}"), "place", F.col("hash").alias(f"hash_{x}"))
-    same = pairs.join(held("a"), "dir_a").join(held("b"), ["dir_b", "place"]).where("hash_a = hash_b").groupBy("dir_a", "dir_b").agg(F.count("*").alias("same"))
+    met = held("a").join(pairs, "dir_a").select("dir_a", "dir_b", "place", F.col("hash_a").alias("hash"))
+    same = large(met).join(large(held("b").withColumnRenamed("hash_b", "hash")), ["dir_b", "place", "hash"]).groupBy("dir_a", "dir_b").agg(F.count("*").alias("same"))
     of = lambda x: sizes.select(F.col("dir").alias(f"dir_{x}"), F.col("n").alias(f"n_{x}"), F.col("newest").alias(f"newest_{x}"))
     told = same.join(of("a"), "dir_a").join(of("b"), "dir_b").where((F.col("same") >= least_same) & (2 * F.col("same") >= F.least("n_a", "n_b")))
     stale = F.when(F.col("newest_a") + seconds < F.col("newest_b"), F.col("dir_a")).when(F.col("newest_b") + seconds < F.col("newest_a"), F.col("dir_b"))

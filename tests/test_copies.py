@@ -59,3 +59,17 @@ def test_stale_candidates_give_way(spark):
     told = copies.demote_copies(spark.createDataFrame(scores, "query_id int, path string, score double"), df, found)
     assert sorted((r["query_id"], r["path"], round(r["score"], 6)) for r in told.collect()) == [
         (1, "Back/src/c7.ts", 1.2), (1, "Back2/src/c3.ts", 5.0), (1, "Back2/src/c7.ts", 1.0), (1, "Back2/src/c9.ts", 3.0), (1, "x.ts", 1.0), (2, "Back/src/c3.ts", 5.0), (2, "Back2/src/c3.ts", 1.0)]
+
+
+def test_no_window_over_a_folder_takes_all_its_files(spark, monkeypatch):
+    """One folder above all files: its order is cut to the last least_same in each task first; dealt to many tasks and with repeated rows the result is the same."""
+    seen, real = [], copies.Scratch.write
+    monkeypatch.setattr(copies.Scratch, "write", lambda self, name, df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), real(self, name, df))[1])
+    rows = [(f"all/{d}/f{i}", f"h{i}", 0) for d in "abc" for i in range(30)] + [("all/a/f3", "h3", 0)] * 3
+    want = run(spark, rows, 5)
+    assert [w[:2] for w in want] == [("all/a", "all/b"), ("all/a", "all/c"), ("all/b", "all/c")]
+    plans = "\n".join(seen)
+    assert "WindowGroupLimit [dir" in plans and "windowspecdefinition(dir" not in plans.replace("row_number() windowspecdefinition(dir", "")
+    monkeypatch.setattr(copies, "ROWS_A_TASK", 7)
+    assert run(spark, rows, 5) == want
+    assert run(spark, rows[:90], 30) == [(a, b, 30, s) for a, b, _, s in want]
