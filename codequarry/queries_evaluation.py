@@ -14,7 +14,7 @@ GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS item_id FROM benchmark JO
 
 
 def _ranked(m: Model):
-    return retrieval.top_k(_bm25(m), 10, "doc_id").select("query_id", F.col("doc_id").alias("item_id"), "rank")
+    return retrieval.bm25_top(_bm25(m), "doc_id", 10).select("query_id", F.col("doc_id").alias("item_id"), "rank")
 
 
 def _gold(m: Model):
