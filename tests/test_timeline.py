@@ -124,3 +124,19 @@ def test_contents_of_any_size_are_read(spark):
     found = verification.verify(spark.createDataFrame(finding, "finding_id long, kind string, symbol string, renamed_to string, changed_file string, after string, ref_file string, caller string, first_edit long, last_edit long"), versions, contents)
     lines = verification.MOST_BYTES // 4 + 3
     assert [(r["outcome"], r["line"], r["n"], r["checked_at"]) for r in found.collect()] == [("kept", lines, 1, "2")]
+
+
+def test_each_large_join_of_the_verification_ends_in_a_table(spark, monkeypatch):
+    """Blobs travel as 16 bytes, and the last table joins what was written by then."""
+    plans, write = {}, verification.Scratch.write
+
+    def keep(self, name, df):
+        plans[name] = (df._jdf.queryExecution().optimizedPlan().toString(), dict(df.dtypes))
+        return write(self, name, df)
+
+    monkeypatch.setattr(verification.Scratch, "write", keep)
+    findings = spark.createDataFrame([(1, "stale", "one", None, "lib", "x", "caller", "go", 500, 900)], "finding_id long, kind string, symbol string, renamed_to string, changed_file string, after string, ref_file string, caller string, first_edit long, last_edit long")
+    versions = spark.createDataFrame([("lib", 10, 1, "x")], "file_id string, ct long, hash long, blob string")
+    verification.verify(findings, versions, spark.createDataFrame([("x", "python", "def one(a):\n    pass\n")], "blob string, lang string, text string"))
+    assert plans["versions"][1]["blob"] == plans["facts"][1]["blob"] == "binary"
+    assert plans["verified"][0].count("Join ") == 2 and {"told", "counts", "standing"} < plans.keys()
