@@ -2,7 +2,7 @@
 
 Each window of `length` bytes is assigned to its anchor, the ANCHOR bytes in it with the least hash, so equal windows have
 equal anchors wherever they stand. Runs of windows with one anchor travel as one string to the anchor's shard, once for
-all equal strings of a step. A shard keeps strings that may share a window with another document, sorts the suffixes of
+all equal strings of a step. An anchor with more than a shard's share is split by what stands beside it in the windows. A shard keeps strings that may share a window with another document, sorts the suffixes of
 the distinct ones by induction, and reads from the permuted common prefixes which windows are equal; of those the smallest
 document keeps its bytes. The ranges that the others lose meet their texts again by blocks of documents.
 """
@@ -30,9 +30,11 @@ SHARD_TEXT, STEP_TEXT = 3 << 20, 4 << 20
 HASHED, EXPANDED = 1 << 19, 1 << 21
 #: Bytes of a longer text that are cut at once.
 PIECE = 4 << 20
+#: Bytes of text that tell about how often anchors stand, which decides how even shards are, not what meets; and shards' shares that an anchor may have.
+TOLD_TEXT, SHARES = 16 << 20, 2
 #: Documents whose ids agree but for so many low bits are blocked together for the last step.
 BLOCK_BITS = 8
-NO_ID = np.iinfo(np.int64).max
+NO_ID, NONE = np.iinfo(np.int64).max, np.zeros(0, np.uint64)
 #: Fields of a packed string.
 FIELDS = np.dtype([("doc", "<i8"), ("crc", "<u2"), ("start", "<u4"), ("size", "u1"), ("anchor", "u1")])
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -104,14 +106,34 @@ def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ..
             yield ids[row:end], crcs, np.zeros(end - row, np.int64), data, offsets
 
 
-def _cut(docs: DataFrame, shards: int, length: int) -> DataFrame:
+def _frequent(docs: DataFrame, total: int, shards: int, length: int) -> np.ndarray:
+    """The hashes, in order, of the anchors whose strings would fill more than SHARES shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, data, offsets in _pieces(batch, length):
+                _, start, end, anchor = strings_of(data, offsets, length)
+                told, at = np.unique(_range_hash(_sums(data), anchor, anchor + ANCHOR), return_inverse=True)
+                yield pa.record_batch({"anchor": pa.array(told.view(np.int64)), "size": pa.array(np.bincount(at, end - start, len(told)).astype(np.int64))})
+
+    if shards <= SHARES:
+        return NONE
+    part, scratch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").sample(min(1.0, TOLD_TEXT / total), seed=0), common.Scratch(docs.sparkSession)
+    sizes = scratch.write("anchors", part.mapInArrow(run, "anchor bigint, size bigint").groupBy("anchor").agg(F.sum("size").alias("size")))
+    share = (sizes.agg(F.sum("size")).first()[0] or 0) * SHARES / shards
+    found = [r["anchor"] for r in sizes.where(F.col("size") > share).select("anchor").collect()]
+    scratch.drop("anchors")
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _cut(docs: DataFrame, shards: int, length: int, frequent: np.ndarray = NONE) -> DataFrame:
     """(shard, packed): the strings of each step, by shard; of equal ones in a step, all their documents but one string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, held, size = zstandard.ZstdCompressor(level=3), [], 0
         for batch in batches:
             for piece in _pieces(batch, length):
-                held.append(_told(*piece, shards, length))
+                held.append(_told(*piece, shards, length, frequent))
                 size += len(piece[3])
                 if size >= STEP_TEXT:
                     yield from _packed(held, coder)
@@ -121,15 +143,34 @@ def _cut(docs: DataFrame, shards: int, length: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard int, packed binary")
 
 
-def _told(ids: np.ndarray, crcs: np.ndarray, place: np.ndarray, data: np.ndarray, offsets: np.ndarray, shards: int, length: int) -> tuple[np.ndarray, ...]:
-    """The bytes, fields, shards, hashes and starts of a piece's strings."""
+def _side(length: int) -> int:
+    """Bytes beside the anchor, on one side at least, that each window has."""
+    return (length - ANCHOR) // 2 - (length - ANCHOR) % 2
+
+
+def _told(ids: np.ndarray, crcs: np.ndarray, place: np.ndarray, data: np.ndarray, offsets: np.ndarray, shards: int, length: int, frequent: np.ndarray = NONE) -> tuple[np.ndarray, ...]:
+    """The bytes, fields, shards, hashes and starts of a piece's strings.
+
+    A frequent anchor's windows that begin a side before it or earlier go by that side too, the others by the side behind it.
+    """
     text, start, end, anchor = strings_of(data, offsets, length)
     rows = np.zeros(len(text), FIELDS)
     if not len(text):
         return data, rows, text, np.zeros(0, np.uint64), start
     sums = _sums(data)
+    key = _range_hash(sums, anchor, anchor + ANCHOR)
+    split = np.isin(key, frequent)
+    if split.any():
+        side, first, last, at = _side(length), start[split], end[split] - length, anchor[split]
+        left, right = np.flatnonzero(first <= at - side), np.flatnonzero(last > at - side)
+        text = np.concatenate([text[~split], text[split][left], text[split][right]])
+        start = np.concatenate([start[~split], first[left], np.maximum(first, at - side + 1)[right]])
+        end = np.concatenate([end[~split], np.minimum(last, at - side)[left] + length, last[right] + length])
+        key = np.concatenate([key[~split], _range_hash(sums, at[left] - side, at[left] + ANCHOR), _range_hash(sums, at[right], at[right] + ANCHOR + side)])
+        anchor = np.concatenate([anchor[~split], at[left], at[right]])
+        rows = np.zeros(len(text), FIELDS)
     rows["doc"], rows["crc"], rows["start"], rows["size"], rows["anchor"] = ids[text], crcs[text], place[text] + start - offsets[text], end - start, anchor - start
-    return data, rows, (_range_hash(sums, anchor, anchor + ANCHOR) % np.uint64(shards)).astype(np.int32), _range_hash(sums, start, end), start
+    return data, rows, (key % np.uint64(shards)).astype(np.int32), _range_hash(sums, start, end), start
 
 
 def _planes(rows: np.ndarray) -> bytes:
@@ -194,7 +235,7 @@ def _shared(rows: np.ndarray, string: np.ndarray, data: np.ndarray, offsets: np.
     start, end = offsets[:-1], offsets[1:]
     anchor = start + rows["anchor"][rows["size"] > 0]
     # a window holds half of what surrounds the anchor in it, on one side at least: only classes that share a side go on
-    side = (length - ANCHOR) // 2 - (length - ANCHOR) % 2
+    side = _side(length)
     told, left, right = _string_hashes(data, start, end, anchor, side)
     # equal strings are one class
     _, lead, cls = np.unique(told, return_index=True, return_inverse=True)
@@ -277,7 +318,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         rec, spans = _shared(rows, string, data, offsets, length)
         return pa.table({"doc_id": pa.array(rows["doc"][rec]), "crc": pa.array(rows["crc"][rec].astype(np.int16)), "start": pa.array(spans[:, 0]), "size": pa.array((spans[:, 1] - spans[:, 0]).astype(np.int16))})
 
-    return _cut(docs, shards, length).groupBy("shard").applyInArrow(run, "doc_id bigint, crc smallint, start bigint, size smallint")
+    return _cut(docs, shards, length, _frequent(docs, total, shards, length)).groupBy("shard").applyInArrow(run, "doc_id bigint, crc smallint, start bigint, size smallint")
 
 
 def _blocks(docs: DataFrame) -> DataFrame:

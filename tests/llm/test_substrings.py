@@ -121,3 +121,33 @@ def test_records_are_looked_at_in_blocks(monkeypatch):
     monkeypatch.setattr(substrings, "EXPANDED", 40)
     assert found() == whole
     assert {d for d, _, _ in whole} == set(range(1, 300))
+
+
+def test_a_frequent_anchor_is_split(spark, monkeypatch):
+    """An anchor in every document, between texts that differ, fills several shards; what is found stays the same."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    alone = np.array([letters(6) for _ in range(2000)])
+    key = substrings._range_hash
+    least = min(alone, key=lambda a: int(substrings.common.mixed(np.array([int.from_bytes(a.encode(), "little")], np.uint64))[0]))
+    kept = [letters(40) for _ in range(40)]
+    rows = [(d, "".join(letters(40) + least + (kept[(7 * d + k) % 40] if k % 3 else letters(40)) for k in range(12))) for d in range(60)]
+    monkeypatch.setattr(substrings, "SHARD_TEXT", 1 << 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    total = sum(len(t) for _, t in rows)
+    shards = -(-total // 1024)
+    frequent = substrings._frequent(docs, total, shards, 50)
+    data = np.frombuffer(least.encode(), np.uint8)
+    assert key(substrings._sums(data), np.array([0]), np.array([6]))[0] in frequent
+
+    def largest(*given):
+        sizes = {}
+        for r in substrings._cut(docs, shards, 50, *given).collect():
+            sizes[r["shard"]] = sizes.get(r["shard"], 0) + len(substrings._unpacked([bytes(r["packed"])])[2])
+        return max(sizes.values())
+
+    assert largest(frequent) * 4 < largest()
+    assert run(spark, rows) == plain(rows)
+    monkeypatch.setattr(substrings, "SHARES", 0)  # every anchor is split
+    assert run(spark, rows) == plain(rows)
+    assert run(spark, documents(3)) == plain(documents(3))
