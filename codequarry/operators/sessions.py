@@ -14,6 +14,8 @@ from codequarry.operators import timeline
 GAP = 3 * 3600
 #: Sessions of a block, and files that blocks are multiplied over at once.
 SESSION_BLOCK, FILE_BLOCK = 2048, 1024
+#: Rows of a block that are compressed at once.
+PACKED_ROWS = 1 << 20
 
 
 def periods(events: DataFrame, gap: int = GAP) -> DataFrame:
@@ -82,22 +84,34 @@ def overlaps(events: DataFrame, block: int = SESSION_BLOCK) -> DataFrame:
     """(session, other, files): files that two sessions both edited.
 
     Sessions are dealt into blocks of about `block`, and each two blocks meet in one task, which counts with products of 0 and 1
-    over FILE_BLOCK files at a time. So a session's files travel once a block, and no row a pair and file is shuffled.
+    over FILE_BLOCK files at a time. A block is compressed once and travels as it is to the blocks it meets, so no row a session,
+    file and block is shuffled, nor one a pair and file.
     """
-    one = events.where("op = 'edit'").select("session", "file_id").distinct()
+    one = events.where("op = 'edit' and session is not null and file_id is not null").select("session", "file_id").distinct()
     blocks = max(1, -(-one.select("session").distinct().count() // block))
-    mine = F.pmod(F.xxhash64("session"), F.lit(blocks))
-    met = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda b: F.struct(F.least(b, mine).alias("a"), F.greatest(b, mine).alias("b")))
-    dealt = one.select("session", "file_id", mine.alias("mine"), F.explode(met).alias("pair")).select("session", "file_id", "mine", "pair.a", "pair.b")
+    packed = one.withColumn("block", F.pmod(F.xxhash64("session"), F.lit(blocks))).groupBy("block").applyInArrow(_packed, "block long, packed binary")
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda b: F.struct(F.least(b, "block").alias("a"), F.greatest(b, "block").alias("b")))
+    dealt = packed.select("block", "packed", F.explode(met).alias("pair")).select("block", "packed", "pair.a", "pair.b")
     kind = dict(one.dtypes)["session"]
     tasks = max(one.sparkSession.sparkContext.defaultParallelism, blocks * (blocks + 1) // 2)
-    return dealt.where("session is not null and file_id is not null").repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(_common_files, f"session {kind}, other {kind}, files long")
+    return dealt.repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(_common_files, f"session {kind}, other {kind}, files long")
+
+
+def _packed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's sessions and files, compressed by PACKED_ROWS."""
+    table = pa.Table.from_batches(batches).select(["session", "file_id"]).sort_by([("session", "ascending"), ("file_id", "ascending")])
+    for at in range(0, len(table), PACKED_ROWS):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table.slice(at, PACKED_ROWS))
+        yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int64()), "packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
 def _common_files(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of two blocks' sessions that share files, row by row of blocks."""
-    (a, b), table = (k.as_py() for k in key), pa.Table.from_batches(batches)
-    session, mine = table["session"].to_numpy(), table["mine"].to_numpy()
+    (a, b), held = (k.as_py() for k in key), [(block.as_py(), pa.ipc.open_stream(packed.as_buffer()).read_all()) for batch in batches for block, packed in zip(batch.column("block"), batch.column("packed"), strict=True)]
+    table, mine = pa.concat_tables(t for _, t in held), np.repeat([block for block, _ in held], [len(t) for _, t in held])
+    session = table["session"].to_numpy()
     names, who = np.unique(session, return_inverse=True)
     files, what = np.unique(table["file_id"].to_numpy(), return_inverse=True)
     home = np.zeros(len(names), np.int64)
