@@ -98,3 +98,18 @@ def test_shapes_are_scanned_in_batches(spark):
 
 def test_bigrams_count_repeats(spark):
     assert spark.createDataFrame([("ababa",), ("a",), ("",)], "t string").select(changes.bigrams(F.col("t"))).collect() == [(["ab1", "ab2", "ba1", "ba2"],), ([],), ([],)]
+
+
+def test_each_kind_of_change_is_a_table_before_they_meet(spark, monkeypatch):
+    """The last table joins nothing, and bigrams aren't shuffled before they are cut to the first ones."""
+    plans, write = {}, changes.Scratch.write
+
+    def keep(self, name, df):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, name, df)
+
+    monkeypatch.setattr(changes.Scratch, "write", keep)
+    rows = [[(1, n + 1, f"{name}{n}", "function", "python", f"def {name}{n}(first: int, second: str) -> int:\n    return {n}\n", n, n + 1) for n in range(5)] for name in ("load_it", "made_it")]
+    schema = "file_id long, symbol_id long, name string, kind string, lang string, text string, start_byte long, end_byte long"
+    changes.shape_changes(*(spark.createDataFrame(r, schema) for r in rows))
+    assert "Join " not in plans["changes"] and "Join " not in plans["first_grams"]
